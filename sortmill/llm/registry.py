@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sortmill.llm import minhash, quality
+from sortmill.llm import linededup, minhash, quality
 from sortmill.llm._work import table
 
 
@@ -18,11 +18,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.keep_good(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
 }
 
 SQL: dict[str, str] = {
     "op3_quality_rules": quality.SQL,
+    "op8_line_dedup": linededup.SQL,
 }
