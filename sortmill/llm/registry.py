@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sortmill.llm import linededup, minhash, quality
+from sortmill.llm import linededup, minhash, mixing, quality
 from sortmill.llm._work import table
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), copy="copy")
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicate_pairs(table(spark, sf_dir, "documents"))
 
@@ -23,12 +27,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op8_line_dedup": op8_line_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op1_mix_sources": mixing.SQL,
     "op3_quality_rules": quality.SQL,
     "op8_line_dedup": linededup.SQL,
 }
