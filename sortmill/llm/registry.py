@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sortmill.llm import linededup, minhash, mixing, quality
+from sortmill.llm import bpe, linededup, minhash, mixing, quality
 from sortmill.llm._work import table
 
 
@@ -22,6 +22,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.keep_good(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source")
 
 
+def op4_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents")).select("doc_id", "tokens", "n_tokens", "exact")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
 
@@ -30,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_bpe_encode": op4_bpe_encode,
     "op8_line_dedup": op8_line_dedup,
 }
 
