@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sortmill.llm import bpe, linededup, minhash, mixing, quality
+from sortmill.llm import bpe, fingerprint, linededup, minhash, mixing, quality
 from sortmill.llm._work import table
 
 
@@ -26,6 +26,10 @@ def op4_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents")).select("doc_id", "tokens", "n_tokens", "exact")
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
 
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe_encode": op4_bpe_encode,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op8_line_dedup": op8_line_dedup,
 }
 
