@@ -111,7 +111,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     c, r, f, gl, gs = fresh(docs, "counts", "ratios", "fences", "group_lang", "group_source")
     fences = fences.select(F.col("lang").alias(gl), F.col("source").alias(gs), F.struct(*SIDES).alias(f))
     fences = small(fences, fences.count(), 256)
-    rows = docs.filter(_has_words()).withColumn(c, features(F.col("text").cast("string"))).withColumn(r, _ratios(c))
+    # Through a generator, past which no rule merges projections: each text is counted once, not once for each comparison.
+    rows = docs.filter(_has_words()).select("*", F.explode(F.array(features(F.col("text").cast("string")))).alias(c)).withColumn(r, _ratios(c))
     rows = rows.join(fences, F.col("lang").cast("string").eqNullSafe(F.col(gl)) & F.col("source").cast("string").eqNullSafe(F.col(gs)))
     ok = F.lit(True)
     for name, (low, high) in SIDES.items():
