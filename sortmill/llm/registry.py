@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sortmill.llm import bpe, fingerprint, linededup, minhash, mixing, quality
+from sortmill.llm import bpe, fingerprint, langid, linededup, minhash, mixing, quality, sharding, tokencount, toxicity
 from sortmill.llm._work import table
 
 
@@ -26,6 +26,14 @@ def op4_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents")).select("doc_id", "tokens", "n_tokens", "exact")
 
 
+def op5_pack_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -34,13 +42,25 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe_encode": op4_bpe_encode,
+    "op5_pack_shards": op5_pack_shards,
+    "op6_toxicity": op6_toxicity,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_line_dedup": op8_line_dedup,
+    "op9_token_counts": op9_token_counts,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {
