@@ -88,14 +88,12 @@ def apply_update(docs: DataFrame, spec: Mapping[str, Any], match: Column, limit_
     (adds; sets where the field is absent, null or no number), $unset (null), and on arrays $push, $pushAll, $addToSet, $pop (1: the
     last, -1: the first), $pull, $pullAll; $rename moves a field. Any other $ name is a ValueError, as is an increment that is no number.
     """
-    (flag,) = ["__hit"]
-    out = docs.withColumn(flag, match)
-    hit = F.col(flag)
+    out = docs.withColumn("__hit", match)
+    hit = F.col("__hit")
 
     def put(df: DataFrame, path: str, new: Column, literal: bool = False) -> DataFrame:
-        kind = _kind(df, path)
-        name = f"`{path}`" if literal else path
-        old = F.col(name) if kind is not None or literal and path in df.columns else F.lit(None)
+        known = path in df.columns if literal else _kind(df, path) is not None
+        old = F.col(f"`{path}`" if literal else path) if known else F.lit(None)
         chosen = F.when(hit, new).otherwise(old)
         return df.withColumn(path, chosen) if literal else _assign(df, path, chosen)
 
@@ -138,7 +136,7 @@ def apply_update(docs: DataFrame, spec: Mapping[str, Any], match: Column, limit_
                 out = put(out, path, _ARRAYS[op](F.col(path), value))
             else:
                 raise ValueError(f"unknown operator {op}")
-    return out.drop(flag)
+    return out.drop("__hit")
 
 
 def _pop(c: Column, end: int) -> Column:
