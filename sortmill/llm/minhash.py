@@ -3,8 +3,8 @@
 Each document is the set of its word trigrams, as 64-bit hashes. Its sketch is the SKETCH smallest of them.
 
 1. Documents of equal sets (128 bits of set hash and the size agree) fold into the smallest doc_id.
-2. Inverted lists: (value, document) for the retained values, rarest first. Two sketches that share at least half of
-   their values must share one among each one's rarest half plus one, so only that part is listed. A passage that
+2. Inverted lists: (value, document) for the retained values, rarest first. Two sketches that share at least RETAINED of
+   their values must share one among each one's rarest 1 - RETAINED of them plus one, so only that part is listed. A passage that
    very many documents share is frequent, and drops out of the lists of all that have enough else.
 3. Each list pairs its members with a leader, drawn by hash in one of ORDERS orders, which the list's value chooses.
    A list of m members makes m-1 pairs, so groups of any size cost in proportion, and a document meets several leaders.
@@ -30,9 +30,10 @@ from pyspark.sql.window import Window as W
 from sortmill.llm._text import blocks, byte_view, mix64, powers64, word_hashes, word_spans
 from sortmill.llm._work import fresh, small, written
 
-SHINGLE, SKETCH, THRESHOLD = 3, 64, 0.7
-#: Share of retained values that a pair must have in common to be found; 3.5 standard deviations below THRESHOLD.
-RETAINED = 0.5
+#: Changing one word in ten leaves two texts a Jaccard similarity of 0.57 in trigrams; a few per cent leave 0.8.
+SHINGLE, SKETCH, THRESHOLD = 3, 64, 0.55
+#: Share of retained values that a pair must have in common to be found; some 3 standard deviations below what THRESHOLD gives.
+RETAINED = 0.45
 ORDERS = 4
 #: Estimates this far below THRESHOLD (2.6 standard deviations at SKETCH values) go without verification.
 SLACK = 0.15
