@@ -1,0 +1,230 @@
+"""Near duplicates, line chunks and fingerprints against brute force."""
+
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from sortmill.llm import fingerprint, linededup, minhash
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+WORDS = [f"w{i}" for i in range(3000)]
+
+
+def frame(spark, texts, ids=None):
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, "en", "s", len(t) if t is not None else None) for i, t in zip(ids, texts)], SCHEMA)
+
+
+def shingles(text):
+    words = [w for w in (text or "").split() if w]
+    return {tuple(words[i : i + 3]) for i in range(len(words) - 2)} or ({tuple(words)} if words else set())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def edited(rng, words, share):
+    return [rng.choice(WORDS) if rng.random() < share else w for w in words]
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        base = [rng.choice(WORDS) for _ in range(rng.choice([5, 30, 80, 400, 1500]))]
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([0, 0, 1, 3, 12])):
+            texts.append(" ".join(edited(rng, base, rng.choice([0.0, 0.02, 0.05, 0.08]))))
+    passage = " ".join(rng.choice(WORDS) for _ in range(60))  # shared by many documents that are no copies
+    texts += [" ".join(rng.choice(WORDS) for _ in range(300)) + " " + passage for _ in range(60)]
+    rng.shuffle(texts)
+    return texts
+
+
+def test_near_duplicates_against_all_pairs(spark, corpus):
+    sets = [shingles(t) for t in corpus]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(corpus)), 2) if jaccard(sets[a], sets[b]) >= minhash.THRESHOLD]
+    root = list(range(len(corpus)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r.doc_id: r.rep_id for r in minhash.duplicate_pairs(frame(spark, corpus)).collect()}
+    met = sum(got.get(a, a) == got.get(b, b) for a, b in pairs)
+    assert len(pairs) > 100 and met >= 0.9 * len(pairs)
+    assert all(find(d) == find(r) and r < d for d, r in got.items())  # nothing that brute force keeps apart is joined
+    kept = {r.doc_id for r in minhash.deduplicate(frame(spark, corpus)).collect()}
+    assert kept == set(range(len(corpus))) - set(got)
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    long = " ".join(WORDS * 3)
+    texts = ["a b c d", "a b c d", None, "", "   ", "x", "x", long, long + " end", "a b c d", "other text here now", "a b c d"]
+    ids = [5, 3, 1, 2, 4, 7, 6, 8, 9, None, 10, None]
+    got = {r.doc_id: r.rep_id for r in minhash.duplicate_pairs(frame(spark, texts, ids)).collect()}
+    assert got == {5: 3, 7: 6, 9: 8}
+    left = minhash.deduplicate(frame(spark, texts, ids)).collect()
+    assert sorted((r.doc_id for r in left if r.doc_id is not None)) == [1, 2, 3, 4, 6, 8, 10] and sum(r.doc_id is None for r in left) == 2
+    again = frame(spark, ["p q r s t", "p q r s t", "u v w x y", None], [1, 1, 1, 2])
+    assert minhash.deduplicate(again).count() == 2
+    empty = frame(spark, [])
+    assert minhash.duplicate_pairs(empty).count() == 0 and minhash.deduplicate(empty).columns == empty.columns
+
+
+def test_big_group_of_equal_and_near_texts(spark):
+    rng = random.Random(9)
+    base = [rng.choice(WORDS) for _ in range(200)]
+    texts = [" ".join(base)] * 500 + [" ".join(edited(rng, base, 0.03)) for _ in range(500)]
+    got = {r.doc_id: r.rep_id for r in minhash.duplicate_pairs(frame(spark, texts)).collect()}
+    assert len(got) == 999 and set(got.values()) == {0}
+
+
+def test_clashing_columns(spark):
+    df = frame(spark, ["a b c d", "a b c d", "one\ntwo\nthree"]).withColumns({c: F.lit(1) for c in ("doc", "rep", "dropped_id", "row_key", "gone", "gone_doc", "new_text", "key", "place")})
+    assert minhash.deduplicate(df).columns == df.columns and linededup.remove_repeats(df).columns == df.columns
+    assert fingerprint.fingerprint_documents(df).count() == 3
+
+
+def test_components(spark):
+    rng = random.Random(10)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    want = {x: find(x) for x in root if find(x) != x}
+    got = minhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert {r.doc: r.rep for r in got} == want and len(got) == len(want)
+
+
+def brute_lines(rows):
+    """Rows (doc_id, text) after removal, by reading the corpus in order."""
+    seen, out = {}, []
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    firsts = {}
+    for i in order:
+        doc, text = rows[i]
+        for place, chunk in enumerate(linededup.chunks(text or "")):
+            joined = "\n".join(chunk)
+            if len(chunk) >= linededup.MIN_LINES and len(joined.encode()) >= linededup.MIN_BYTES:
+                at = (doc is None, doc or 0, place)
+                firsts[joined] = min(firsts.get(joined, at), at)
+    for doc, text in rows:
+        if text is None:
+            out.append((doc, None))
+            continue
+        left, lost = [], False
+        for place, chunk in enumerate(linededup.chunks(text)):
+            joined = "\n".join(chunk)
+            if joined in firsts and firsts[joined] != (doc is None, doc or 0, place):
+                lost = True
+            else:
+                left += [chunk]
+        if not lost:
+            out.append((doc, text))
+        elif left:
+            out.append((doc, "\n".join(line for c in left for line in c)))
+    return sorted(out, key=str)
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(11)
+    line = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 14)))
+    shared = ["\n".join(line() for _ in range(rng.randrange(4, 12))) for _ in range(6)]
+    rows = []
+    for i in range(120):
+        parts = ["\n".join(line() for _ in range(rng.randrange(1, 8)))]
+        if rng.random() < 0.6:
+            parts.append(rng.choice(shared))
+        parts.append("\n".join(line() for _ in range(rng.randrange(0, 5))))
+        rows.append((i, "\n".join(parts)))
+    rows += [(200, None), (201, ""), (202, shared[0]), (203, shared[0]), (None, shared[1]), (204, "\n" * 500), (205, "é\n" * 300)]
+    df = frame(spark, [t for _, t in rows], [d for d, _ in rows])
+    got = linededup.remove_repeats(df).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == brute_lines(rows)
+    assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in got)
+    assert sum(len(r.text or "") for r in got) < 0.9 * sum(len(t or "") for _, t in rows)
+
+
+def test_boundaries_resist_shifts():
+    rng = random.Random(12)
+    lines = [" ".join(rng.choice(WORDS) for _ in range(6)) for _ in range(60)]
+    plain = {tuple(c) for c in linededup.chunks("\n".join(lines))}
+    moved = {tuple(c) for c in linededup.chunks("\n".join(["before"] * 3 + lines))}
+    assert len(plain & moved) >= len(plain) - 2
+
+
+def test_line_dedup_of_empty_table_and_equal_rows(spark):
+    assert linededup.remove_repeats(frame(spark, [])).count() == 0
+    text = "\n".join(["a line that is long enough to matter here"] * 2 + ["another that is long enough too, to be sure"] * 3)
+    got = linededup.remove_repeats(frame(spark, [text, text], [1, 1])).collect()
+    assert [r.text for r in got] == [got[0].text] * 2  # rows of one document lose the same
+
+
+def test_prefix_hashes():
+    rng = random.Random(13)
+    for _ in range(200):
+        a = bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 60)))
+        b = bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 60)))
+        x, y = fingerprint.PrefixHash(a), fingerprint.PrefixHash(b)
+        i, j = rng.randrange(len(a) + 1), rng.randrange(len(b) + 1)
+        n = 0
+        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+            n += 1
+        back = 0
+        while back < min(i, j) and a[i - back - 1] == b[j - back - 1]:
+            back += 1
+        assert fingerprint.common_extension(x, i, y, j) == n and fingerprint.common_extension_back(x, i, y, j) == back
+        m = rng.randrange(0, 20)
+        assert fingerprint.same(x, i, y, j, m) == (i + m <= len(a) and j + m <= len(b) and a[i : i + m] == b[j : j + m])
+        if i + m <= len(a) and a[i : i + m]:
+            assert x.span(i, m) == fingerprint.PrefixHash(a[i : i + m]).span(0, m)
+    big = fingerprint.PrefixHash(b"x" * 3_000_000)
+    assert fingerprint.common_extension(big, 0, big, 1) == 2_999_999
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = random.Random(14)
+    head = "h" * fingerprint.ANCHOR
+    texts = [head + "".join(rng.choice("abc") for _ in range(rng.randrange(0, 6))) for _ in range(40)] + ["short", "short", "", None, "é" * 40, "x" * 200_000, head[:-1]]
+    ids = [*range(40), 50, 41, 42, 43, 44, 45, None]
+    rows = list(zip(ids, texts))
+    got = fingerprint.fingerprint_documents(frame(spark, texts, ids)).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    raw = {d: (t or "").encode() for d, t in rows}
+    for d, t in rows:
+        r = by[d]
+        b = raw[d]
+        assert r.n_bytes == len(b)
+        if not b:
+            assert (r.fingerprint, r.canonical_id, r.anchor_id) == (0, d, None)
+            continue
+        assert r.fingerprint == fingerprint.PrefixHash(b).fingerprint()
+        named = [x for x in raw if x is not None]
+        same = [x for x in named if raw[x] == b]
+        assert r.canonical_id == (min(same) if same else None)
+        begin = [x for x in named if raw[x] and raw[x][: fingerprint.ANCHOR] == b[: fingerprint.ANCHOR]]
+        assert r.anchor_id == (min(begin) if begin else None)
+        if r.anchor_id is not None:
+            a = raw[r.anchor_id]
+            lcp = next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
+            lcs = next((i for i, (p, q) in enumerate(zip(a[::-1], b[::-1])) if p != q), min(len(a), len(b)))
+            assert (r.anchor_bytes, r.lcp, r.lcs) == (len(a), lcp, lcs)
+    assert fingerprint.fingerprint_documents(frame(spark, [])).count() == 0
