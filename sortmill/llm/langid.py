@@ -113,7 +113,7 @@ class Model:
         for i, j in blocks(offsets, BLOCK):
             o = offsets[i : j + 1] - offsets[i]
             g = grams(raw[offsets[i] : offsets[j]], o)
-            if not len(g):
+            if not len(g) or not self.trees:
                 continue
             inverse, distinct = pd.factorize(g)
             cost = self._lengths(distinct)
