@@ -24,7 +24,8 @@ def matches(query: Query) -> Column:
 
 
 def find(docs: DataFrame, query: Query) -> DataFrame:
-    return docs.filter(matches(query))
+    """The documents that match, by plain equalities, which reach the scan; a filter takes their nulls as false."""
+    return reduce(lambda df, kv: df.filter(F.col(kv[0]) == kv[1]), query.items(), docs)
 
 
 def index_entries(docs: DataFrame, fields: list[str], pk: str) -> DataFrame:
@@ -57,7 +58,7 @@ def find_via_index(docs: DataFrame, index: DataFrame, fields: list[str], pk: str
             break
         entries = entries.filter(F.col(f"part{i}") == query[f])
     hits = entries.select(F.col("pk").alias("__pk")).distinct()
-    return docs.join(hits, F.col(pk) == F.col("__pk"), "left_semi").filter(matches(query))
+    return find(docs.join(hits, F.col(pk) == F.col("__pk"), "left_semi"), query)
 
 
 def _numeric(kind: T.DataType) -> bool:

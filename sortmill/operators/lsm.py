@@ -1,7 +1,8 @@
 """Update logs in generations: newest update wins, deletions are tombstones, compaction merges generations.
 
-`newest_wins` is one hash aggregate with map-side combining, and no sort per key. Key ranges may be filtered before it;
-tombstones and values only after it, or deleted rows would come back.
+`newest_wins` is one aggregate with map-side combining, so that one row for each key and task is shuffled, however many updates a
+hot key has. (Its buffers are structs, so Spark sorts by key where it would else hash; the sorts spill.) Key ranges may be
+filtered before it; tombstones and values only after it, or deleted rows would come back.
 """
 
 from __future__ import annotations
