@@ -17,15 +17,16 @@ its count. Empty tables give empty tables. Further columns are carried, whatever
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sortmill.llm._work import fresh, small, written
 
 SEED, EPOCHS, ALPHA = 20, 1.0, 0.5
-#: Rates above this split into whole epochs and a Poisson rest, so that cumulative sums stay short and exact.
-WHOLE = 16.0
 
 
 def _digest(*parts: Column) -> Column:
@@ -51,33 +52,42 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, epoch
     return sized.crossJoin(F.broadcast(whole)).select("source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
-def cumulative(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... of a Poisson variable of mean `rate` below WHOLE, far enough for 52-bit uniforms.
+def terms(rate: float) -> int:
+    """How many counts can have a probability that a 52-bit uniform number could meet: those to 12 deviations above the mean, and 40."""
+    return math.ceil(rate + 12.0 * math.sqrt(rate) + 40.0)
 
-    Each entry is the sum of terms exp(k ln(rate) - rate - ln k!), so that SQL can state the very same.
-    """
-    last = 96  # P(X > 96) < 2**-100 at mean 16
-    logs = [math.lgamma(k + 1.0) for k in range(last + 1)]
-    terms = F.transform(F.array(*map(F.lit, logs)), lambda lf, k: F.when(rate > 0, F.exp(k * F.ln(rate) - rate - lf)).otherwise(F.when(k == 0, F.lit(1.0)).otherwise(F.lit(0.0))))
-    return F.transform(F.sequence(F.lit(1), F.lit(last + 1)), lambda n: F.aggregate(F.slice(terms, 1, n), F.lit(0.0), lambda a, x: a + x))
+
+def cumulative(rate: float) -> np.ndarray:
+    """P(X <= 0), P(X <= 1), ... of a Poisson variable, as running sums of exp(k ln(rate) - rate - ln k!)."""
+    n = terms(rate)
+    if rate <= 0:
+        return np.ones(n)
+    k = np.arange(n, dtype=np.float64)
+    factorial = np.fromiter(map(math.lgamma, range(1, n + 1)), np.float64, n)
+    return np.cumsum(np.exp(k * math.log(rate) - rate - factorial))
+
+
+def _with_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"source": batch["source"], "upto": [cumulative(r) for r in batch["rate"]]})
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = EPOCHS, seed: int = SEED, copy: str | None = None) -> DataFrame:
     """The copies of `docs`, in the columns of `docs` and, if named, one with the number of the copy from 0."""
     src, steps, count, nth, where, own, u = fresh(docs, "mix_source", "mix_steps", "mix_count", "mix_nth", "mix_where", "mix_digest", "mix_uniform")
-    of = written(rates(docs, weights, epochs), "mixing-rates")
-    base = F.when(F.col("rate") > WHOLE, F.floor(F.col("rate") - WHOLE / 2)).otherwise(F.lit(0)).cast("bigint")
-    of = of.select(F.col("source").alias(src), base.alias("base"), (F.col("rate") - base).alias("rest"))
-    of = written(of.select(src, F.struct("base", cumulative(F.col("rest")).alias("upto")).alias(steps)), "mixing-steps")
-    of = small(of, of.count(), 1024)
+    # A row for each source; the sums are as long as its rate asks for, and a source of high rate has few documents.
+    of = written(rates(docs, weights, epochs).mapInPandas(_with_steps, "source string, upto array<double>"), "mixing-steps")
+    of = of.select(F.col("source").alias(src), F.col("upto").alias(steps))
+    size = of.agg(F.sum(F.size(steps) * F.lit(8) + 64)).first()[0] or 0
+    of = small(of, 1, size)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = docs.withColumn(own, F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
     # Made below the join: a lambda's free expressions are evaluated for each element.
     rows = rows.withColumn(u, _digest(F.lit(str(seed)), name, F.col(own)) / F.lit(float(1 << 52)))
     rows = rows.join(of, F.col("source").cast("string").eqNullSafe(F.col(src)))
     # The count is the number of cumulative sums that do not exceed the uniform number.
-    drawn = F.col(f"{steps}.base") + F.size(F.filter(F.col(f"{steps}.upto"), lambda p: p <= F.col(u)))
-    rows = rows.withColumn(count, drawn.cast("int")).filter(F.col(count) > 0)
+    drawn = F.size(F.filter(F.col(steps), lambda p: p <= F.col(u)))
+    rows = rows.withColumn(count, drawn).filter(F.col(count) > 0)
     rows = rows.select(*[docs[c] for c in docs.columns], own, F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias(nth))
     rows = rows.withColumn(where, F.xxhash64(F.lit(seed), "doc_id", own, nth)).drop(own)
     rows = rows.repartition(where).sortWithinPartitions(where)
@@ -89,11 +99,11 @@ def _sql() -> str:
     WITH sized AS (SELECT source, sum(coalesce(strlen(text), 0))::DOUBLE AS bytes FROM documents GROUP BY source),
     whole AS (SELECT sum(bytes) AS all_bytes, sum(pow(bytes, {ALPHA}::DOUBLE)) FILTER (bytes > 0) AS all_weight FROM sized),
     rates AS (SELECT source, CASE WHEN bytes > 0 THEN pow(bytes, {ALPHA}::DOUBLE) / all_weight * all_bytes * {EPOCHS}::DOUBLE / bytes ELSE {EPOCHS}::DOUBLE END AS rate FROM sized, whole),
-    parts AS (SELECT source, CASE WHEN rate > {WHOLE} THEN floor(rate - {WHOLE / 2}::DOUBLE) ELSE 0 END AS base, rate FROM rates),
-    terms AS (SELECT source, base, k, exp(k * ln(rate - base) - (rate - base) - lgamma(k + 1.0::DOUBLE)) AS p FROM parts, range(97) t(k)),
-    upto AS (SELECT source, base, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+    counts AS (SELECT source, rate, unnest(range(ceil(rate + 12.0::DOUBLE * sqrt(rate) + 40.0::DOUBLE)::BIGINT)) AS k FROM rates),
+    terms AS (SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1.0::DOUBLE)) AS p FROM counts),
+    upto AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
     drawn AS (SELECT row_number() OVER () AS rid, doc_id, text, lang, source, n_chars, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT / {float(1 << 52)}::DOUBLE AS u FROM documents),
-    counted AS (SELECT rid, (any_value(base) + count(*) FILTER (c <= u))::BIGINT AS times FROM drawn d JOIN upto s ON d.source IS NOT DISTINCT FROM s.source GROUP BY rid)
+    counted AS (SELECT rid, count(*) FILTER (c <= u) AS times FROM drawn d JOIN upto s ON d.source IS NOT DISTINCT FROM s.source GROUP BY rid)
     SELECT doc_id, text, lang, source, n_chars, unnest(range(times))::INT AS copy FROM drawn JOIN counted USING (rid) WHERE times > 0"""
 
 
