@@ -2,8 +2,8 @@
 
 Documents are packed in groups, each the documents of one source that share a hash bucket; a source has as many buckets as
 make a group about 1/PIECES of a shard in its largest dimension, and a group is never split. There are as many shards as
-SHARD_BYTES asks for. Groups and shards fall into cells of about CELL_SHARDS shards, a source's groups going round the cells, so
-that each cell is packed alone, in one task. In a cell, the groups go from large to small, each to that shard, among those with room for it in
+SHARD_BYTES asks for. Groups and shards fall into cells of about CELL_SHARDS shards, each taking
+its part of every source, so that each cell is packed alone, in one task. In a cell, the groups go from large to small, each to that shard, among those with room for it in
 every dimension, where the dot product of its size with the shard's residual capacity is highest, all in shares of capacity.
 A shard's capacity is its part of the cell plus ROOM. A group that fits nowhere goes where it overfills least.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sortmill.llm._work import small, written
 
-SHARD_BYTES, PIECES, CELL_SHARDS, ROOM = 64 << 20, 8, 64, 0.02
+SHARD_BYTES, PIECES, CELL_SHARDS, ROOM = 64 << 20, 32, 64, 0.02
 DIMENSIONS = ("n_bytes", "n_tokens", "n_rows")
 
 
@@ -80,8 +80,9 @@ def assign_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES, cell_shards:
     sources = rows.groupBy("source").agg(*sums).select(F.col("source").alias("of"), F.greatest(F.lit(1), F.ceil(part * shards * PIECES)).cast("bigint").alias("buckets"))
     sources = written(sources, "shard-sources")
     rows = rows.join(small(sources, sources.count(), 64), F.col("source").eqNullSafe(F.col("of"))).withColumn("bucket", F.pmod("spread", "buckets"))
-    # A source's buckets go round the cells, so that every cell has like parts of every source.
-    cell = F.pmod(F.col("bucket") + F.xxhash64("source"), F.lit(cells))
+    # A source's buckets go round the shards, so that every cell has parts of every source in proportion to its shards.
+    turn = F.pmod(F.col("bucket") + F.xxhash64("source"), F.lit(shards))
+    cell = F.floor(((turn + 1) * cells - 1) / F.lit(shards)).cast("bigint")
     rows = rows.select("doc_id", "source", "n_bytes", "n_tokens", F.xxhash64("source", "bucket").alias("grp"), cell.alias("cell"))
     bound = lambda c: F.floor(c * shards / F.lit(cells)).cast("bigint")
     groups = rows.groupBy("grp", "cell").agg(*sums).withColumn("first_shard", bound(F.col("cell"))).withColumn("last_shard", bound(F.col("cell") + 1))
