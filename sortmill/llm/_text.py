@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+def release() -> None:
+    """Gives memory that this worker has freed back to the machine: idle workers are kept, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries may not
+    if trim is not None:
+        trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit words."""
     x = x.astype(np.uint64, copy=True)

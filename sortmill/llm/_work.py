@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only below this estimate of its bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
+#: Rows of an Arrow batch, at most: texts are long, and a worker holds several copies of a batch.
+ARROW_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +39,13 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def slim_batches(spark: SparkSession) -> None:
+    """Holds this session's Arrow batches to ARROW_ROWS, unless they are smaller already. This changes memory only."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like `names` that no column of `df` has, in any case."""
     taken = {c.lower() for c in df.columns}

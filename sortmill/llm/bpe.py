@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sortmill.llm._work import fresh
+from sortmill.llm._text import release
+from sortmill.llm._work import fresh, slim_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Encodings of pieces, in each of two generations, and pairs of tokens that a worker keeps at hand. This changes speed only.
-KEPT_PIECES, KEPT_PAIRS = 200_000, 300_000
+#: Encodings of pieces, in each of two generations, pairs of tokens, and marks of pieces met (a power of two) that a worker keeps
+#: at hand. This changes speed and memory only.
+KEPT_PIECES, KEPT_PAIRS, MET = 100_000, 200_000, 1 << 20
 #: A match of PATTERN depends on no character more than this far behind its end.
 LOOKAHEAD = 2
 
@@ -158,8 +160,9 @@ class Vocabulary:
     def encode_piece(self, piece: str) -> bytes:
         """The tokens of one piece as packed 32-bit integers."""
         raw = piece.encode()
-        if raw in self._whole:
-            return array("i", [self._whole[raw]]).tobytes()
+        whole = self.index.get(raw)
+        if whole is not None:  # a piece that is a token is encoded as it
+            return array("i", [whole]).tobytes()
         return array("i", self.read(self.fill(raw))).tobytes()
 
     def decode(self, ids: Iterable[int]) -> bytes:
@@ -167,19 +170,27 @@ class Vocabulary:
 
 
 class Pieces(dict):
-    """The packed encodings of pieces, made when first asked for."""
+    """The packed encodings of pieces, made when first asked for and kept from the second time on: most are met but once."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.older: dict[str, bytes] = {}
+        self.met, self.marks = bytearray(MET), 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEPT_PIECES:
-            self.older = dict(self)
-            self.clear()
         made = self.older.get(piece)
         if made is None:
             made = self.vocabulary.encode_piece(piece)
+            at = hash(piece) & MET - 1
+            if not self.met[at]:
+                if self.marks > MET // 2:
+                    self.met, self.marks = bytearray(MET), 0
+                self.met[at] = 1
+                self.marks += 1
+                return made
+        if len(self) >= KEPT_PIECES:
+            self.older = dict(self)
+            self.clear()
         if len(piece) <= 64:
             self[piece] = made
         return made
@@ -276,13 +287,17 @@ def encoder(path: str, pattern: str) -> Callable:
             flat = pa.array(np.concatenate(values) if values else np.empty(0, np.int32))
             offsets = np.cumsum(sizes, dtype=np.int64).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array([not v for v in valid], pa.bool_()))
-            yield pa.StructArray.from_arrays([lists, pa.array(exact, pa.bool_())], ["tokens", "exact"])
+            made = pa.StructArray.from_arrays([lists, pa.array(exact, pa.bool_())], ["tokens", "exact"])
+            del values, flat, lists
+            release()
+            yield made
 
     return encode
 
 
 def encode_documents(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """`docs` with tokens, n_tokens and exact (whether the tokens decode to the text); such columns that it had are replaced."""
+    slim_batches(docs.sparkSession)
     (made,) = fresh(docs, "encoded")
     rows = docs.withColumn(made, encoder(path, pattern)(F.col("text").cast("string")))
     new = {"tokens": F.col(f"{made}.tokens"), "n_tokens": F.coalesce(F.size(f"{made}.tokens"), F.lit(0)), "exact": F.col(f"{made}.exact")}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sortmill.llm._text import blocks, byte_view
-from sortmill.llm._work import small, written
+from sortmill.llm._work import slim_batches, small, written
 
 PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1664525021)
 ANCHOR = 64
@@ -137,6 +137,7 @@ def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, fingerprint, head): one row for each row of `docs`; head is the hash of the first ANCHOR bytes."""
+    slim_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_print_batches, "doc_id bigint, n_bytes bigint, fingerprint bigint, head bigint")
 

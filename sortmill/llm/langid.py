@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sortmill.llm._text import blocks, byte_view
-from sortmill.llm._work import small
+from sortmill.llm._work import slim_batches, small
 
 ORDER, TRAIN_ROWS = 4, 200
 UNIT = 1 << 20
 #: Grams of which a worker keeps the code lengths at hand. This changes speed only.
-KEPT, BLOCK = 1_000_000, 4 << 20
+KEPT, BLOCK = 1_000_000, 1 << 20
 PAD = 10
 
 
@@ -158,6 +158,7 @@ def _scorer(shared) -> Callable:
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, language, n_bytes, bits) for each row of `docs`; bits is the code length in that language."""
+    slim_batches(docs.sparkSession)
     model = model or train(training_texts(docs))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sortmill.llm._work import fresh, small, written
+from sortmill.llm._text import release
+from sortmill.llm._work import fresh, slim_batches, small, written
 
 WINDOW, MEAN, MIN_LINES, MIN_BYTES = 2, 2, 2, 64
 _BASE, _MOD = 48271, 2147483647
@@ -68,6 +69,7 @@ def _emit(with_text: bool):
                     yield _batch(names, docs, places, keys, texts)
                     docs, places, keys, texts, held = [], [], [], [], 0
             yield _batch(names, docs, places, keys, texts)
+            release()
 
     return batches
 
@@ -79,6 +81,7 @@ def _batch(names: list[str], docs: list, places: list, keys: list, texts: list)
 
 def chunk_rows(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc, place, key and, if asked, chunk): every chunk that is long enough to be removed."""
+    slim_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.col("text").cast("string").alias("text")).filter(F.instr("text", "\n") > 0)
     return rows.mapInArrow(_emit(with_text), "doc bigint, place int, key bigint" + ", chunk string" * with_text)
 

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sortmill.llm._text import blocks, byte_view, mix64, powers64, word_hashes, word_spans
-from sortmill.llm._work import fresh, small, written
+from sortmill.llm._text import blocks, byte_view, mix64, powers64, release, word_hashes, word_spans
+from sortmill.llm._work import fresh, slim_batches, small, written
 
 #: Changing one word in ten leaves two texts a Jaccard similarity of 0.57 in trigrams; a few per cent leave 0.8.
 SHINGLE, SKETCH, THRESHOLD = 3, 64, 0.55
@@ -37,7 +37,7 @@ RETAINED = 0.45
 ORDERS = 4
 #: Estimates this far below THRESHOLD (2.6 standard deviations at SKETCH values) go without verification.
 SLACK = 0.15
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def shingle_sets(column: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -78,10 +78,12 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             [batch.column(0), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(values))],
             ["doc", "n", "h1", "h2", "sketch"],
         )
+        release()
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc, n, h1, h2, sketch): one row for each row of `docs` with a doc_id and a word."""
+    slim_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.col("text").cast("string").alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
     return rows.mapInArrow(_sketch_batches, "doc bigint, n int, h1 bigint, h2 bigint, sketch array<bigint>").filter("n > 0")
 
@@ -94,6 +96,7 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             both = len(np.intersect1d(a, b, assume_unique=True))
             j.append(both / max(len(a) + len(b) - both, 1))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j, pa.float64())], ["a", "b", "jaccard"])
+        release()
 
 
 def candidate_pairs(distinct: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sortmill.llm import bpe
-from sortmill.llm._work import small, written
+from sortmill.llm._work import slim_batches, small, written
 
 CHUNK, OVERLAP, WIDEN = 1 << 15, 128, 4
 
@@ -122,6 +122,7 @@ def _splice_group(group: pd.DataFrame) -> pd.DataFrame:
 
 def count_documents(docs: DataFrame, path: str = bpe.VOCABULARY, pattern: str = bpe.PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, n_tokens) for each row of `docs`."""
+    slim_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = written(rows.mapInArrow(_counter(path, pattern, chunk), f"doc_id {kind}, n_tokens bigint, digest string"), "count-rows")
