@@ -2,12 +2,12 @@
 
 A text, in lower case, is a bag of subwords: its character n-grams of NGRAMS lengths, none reaching across white space but with
 the space on either side of a word counting as its first or last character, and its whole words. Subwords hash into BUCKETS
-vectors of SIZE numbers. Their average goes through a linear softmax over {clean, toxic}; vectors and weights are trained jointly
+vectors of SIZE numbers. Their average, in which those of a word that stands n times weigh log2(1 + n), goes through a linear softmax over {clean, toxic}; vectors and weights are trained jointly
 by Adam. A misspelling that was never seen shares most of its n-grams with words that were.
 
 Training takes the labelled documents of lowest hash, at most TRAIN_ROWS of each class: that bound is all that is sampled.
 Its rows are weighted so that both classes count alike; the threshold on the toxic probability is set on HELD_OUT of the sample,
-kept out of training, where it makes the fewest errors, each class counting alike.
+kept out of training, where its errors cost least (CLEAN_COST).
 
 Since the softmax of an average is linear in the vectors, a text's score needs one number for each bucket: that table is all that
 is sent to the executors, and its size is fixed.
@@ -29,52 +29,80 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sortmill.llm._text import mix64, powers64
-from sortmill.llm._work import small
+from sortmill.llm._work import slim_batches, small
 
 NGRAMS, BUCKETS, SIZE = (3, 4, 5), 1 << 18, 8
+#: The weight of subwords of vector zero that each average has besides the text's own: a few subwords say little.
+NEUTRAL = 1000.0
 TRAIN_ROWS, HELD_OUT, EPOCHS, RATE, BATCH = 3000, 0.2, 12, 0.02, 64
+#: The threshold is set as if a clean document flagged cost so many toxic ones missed, each as a share of its class.
+CLEAN_COST = 2.0
 BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
-def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of all subwords of the texts, text by text, and each text's first as n+1 offsets."""
-    texts = [" " + t.lower() + " " for t in texts]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    edges = np.concatenate([[0], np.cumsum(sizes)])
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def damped(count: np.ndarray) -> np.ndarray:
+    """What a word that stands in a text so many times weighs: a text that repeats itself says little more."""
+    return np.log2(1.0 + count)
+
+
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of the texts, and where they stand.
+
+    Gives for each pair of a text and one of its words the text, the word and how often it stands there; then the subwords' buckets
+    of all words and the word that each belongs to.
+    """
+    none = np.empty(0, np.int64)
+    points = np.frombuffer((" " + " ".join(t.lower() for t in texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    edges = np.cumsum([0] + [len(t.lower()) + 1 for t in texts])
     gap = points <= 32
-    points[gap] = 32
-    # How many gaps lie before each place: an n-gram is whole if there is none strictly inside it.
-    gaps = np.concatenate([[0], np.cumsum(gap)])
-    found, at = [], []
+    starts = np.flatnonzero(~gap[1:] & gap[:-1]) + 1
+    if not len(starts):
+        return none, none, none, none, none
+    length = np.flatnonzero(gap[1:] & ~gap[:-1]) + 1 - starts
+    own = np.searchsorted(edges, starts - 1, "right") - 1
+
+    def places(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every place of the spans, and its distance from its span's start."""
+        pos = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
+        return np.repeat(first, size) + pos, pos
+
+    at, pos = places(starts, length)
+    hashes = mix64(np.add.reduceat(points[at] * powers64(_BASE + 2, int(length.max()))[pos], np.cumsum(length) - length))
+    hashes, first, word = np.unique(hashes, return_index=True, return_inverse=True)
+    pairs, count = np.unique(own * len(hashes) + word, return_counts=True)
+
+    # The distinct words side by side, a space between; an n-gram may have one at either end, but none inside.
+    size = length[first]
+    begin = np.cumsum(size + 1) - size
+    line = np.full(int(begin[-1] + size[-1]) + 1, 32, np.uint64)
+    to, _ = places(begin, size)
+    line[to] = points[places(starts[first], size)[0]]
+    holder = np.zeros(len(line), np.int64)
+    holder[to] = np.repeat(np.arange(len(hashes)), size)
+    gaps = np.concatenate([[0], np.cumsum(line == 32)])
+    buckets, owner = [hashes], [np.arange(len(hashes))]
     for n in NGRAMS:
-        m = len(points) - n + 1
+        m = len(line) - n + 1
         if m <= 0:
             continue
         h = np.zeros(m, np.uint64)
         for q, p in enumerate(powers64(_BASE, n)):
-            h += points[q : q + m] * p
-        inside = gaps[n - 1 : n - 1 + m] - gaps[1 : 1 + m] == 0
-        place = np.flatnonzero(inside)
-        found.append(mix64(h[place] + np.uint64(n)))
-        at.append(place)
-    starts = np.flatnonzero(~gap[1:] & gap[:-1]) + 1
-    if len(starts):
-        ends = np.flatnonzero(gap[1:] & ~gap[:-1]) + 1
-        length = ends - starts
-        first = np.cumsum(length) - length
-        pos = np.arange(int(length.sum()), dtype=np.int64) - np.repeat(first, length)
-        term = points[pos + np.repeat(starts, length)] * powers64(_BASE + 2, int(length.max()))[pos]
-        found.append(mix64(np.add.reduceat(term, first)))
-        at.append(starts)
-    if not found:
-        return np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    hashes, at = np.concatenate(found), np.concatenate(at)
-    own = np.searchsorted(edges, at, "right") - 1
-    order = np.argsort(own, kind="stable")
-    counts = np.bincount(own, minlength=len(texts))
-    return (hashes[order] & np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate([[0], np.cumsum(counts)])
+            h += line[q : q + m] * p
+        place = np.flatnonzero(gaps[n - 1 : n - 1 + m] == gaps[1 : 1 + m])
+        buckets.append(mix64(h[place] + np.uint64(n)))
+        owner.append(holder[place + 1])
+    return pairs // len(hashes), pairs % len(hashes), count, (np.concatenate(buckets) & np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate(owner)
+
+
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's subwords and what each weighs in their average."""
+    _, word, count, buckets, owner = words([text])
+    weight = np.zeros(len(word))
+    weight[word] = damped(count)
+    distinct, inverse = np.unique(buckets, return_inverse=True)
+    part = np.bincount(inverse, weight[owner], len(distinct)) if len(distinct) else np.empty(0)
+    return distinct, (part / (part.sum() + NEUTRAL)).astype(np.float32)
 
 
 def margins(texts: list[str], table: np.ndarray, bias: float) -> np.ndarray:
@@ -84,11 +112,13 @@ def margins(texts: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     for i, t in enumerate(texts):
         size += len(t)
         if size > BLOCK or i == len(texts) - 1:
-            buckets, edges = subwords(texts[start : i + 1])
-            sums = np.concatenate([[0.0], np.cumsum(table[buckets], dtype=np.float64)])
-            n = np.diff(edges)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                out[start : i + 1] = (sums[edges[1:]] - sums[edges[:-1]]) / n + bias
+            text, word, count, buckets, owner = words(texts[start : i + 1])
+            n = i + 1 - start
+            if len(text):
+                sums, subwords = np.bincount(owner, table[buckets]), np.bincount(owner)
+                weight = damped(count)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    out[start : i + 1] = np.bincount(text, weight * sums[word], n) / np.where(np.bincount(text, minlength=n) > 0, np.bincount(text, weight * subwords[word], n) + NEUTRAL, np.nan) + bias
             start, size = i + 1, 0
     return out
 
@@ -119,11 +149,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 6) -> Model:
     for c in (0, 1):
         rows = rng.permutation(np.flatnonzero(y == c))
         held[rows[: int(len(rows) * HELD_OUT)]] = True
-    bags = []
-    for t in texts:
-        b, _ = subwords([t])
-        u, n = np.unique(b, return_counts=True)
-        bags.append((u, (n / n.sum()).astype(np.float32)))
+    bags = [bag(t) for t in texts]
     vectors = rng.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32)
     weights = rng.normal(0, 0.1, (SIZE, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -174,7 +200,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 6) -> Model:
     truth = y[rows]
     cuts = np.unique(score)
     cuts = np.concatenate([(cuts[1:] + cuts[:-1]) / 2, [0.5]])
-    cost = [np.mean(score[truth == 0] >= c) + np.mean(score[truth == 1] < c) for c in cuts]
+    cost = [CLEAN_COST * np.mean(score[truth == 0] >= c) + np.mean(score[truth == 1] < c) for c in cuts]
     best = np.flatnonzero(np.isclose(cost, np.min(cost)))
     model.threshold = float(np.median(cuts[best]))
     return model
@@ -205,6 +231,7 @@ def _scorer(shared) -> Callable:
 
 def score_documents(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, score, toxic) for each row of `docs`."""
+    slim_batches(docs.sparkSession)
     model = model or train(*training_rows(docs, labels))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()

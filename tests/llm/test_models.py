@@ -108,8 +108,8 @@ def test_toxicity_held_out(spark):
     got = toxicity.score_documents(docs.join(held.select("doc_id"), "doc_id", "left_semi"), labels, model).join(held.withColumnRenamed("toxic", "truth"), "doc_id").collect()
     hit = [r.toxic for r in got if r.truth]
     wrong = [r.toxic for r in got if not r.truth]
-    # Some 300 toxic rows to learn from here, a tenth of TRAIN_ROWS; with all of them 0.99 are caught, at 0.02 wrong.
-    assert len(hit) > 30 and np.mean(hit) >= 0.75 and np.mean(wrong) <= 0.08
+    # Some 300 toxic rows to learn from here, a tenth of TRAIN_ROWS. The README has the figures at full size.
+    assert len(hit) > 30 and np.mean(hit) >= 0.6 and np.mean(wrong) <= 0.06
 
 
 def test_unseen_misspellings_share_vectors():
@@ -124,15 +124,34 @@ def test_unseen_misspellings_share_vectors():
     assert (model.scores([" ".join(rng.choice(plain) for _ in range(30)) for _ in range(40)]) < model.threshold).mean() >= 0.95
 
 
-def test_subwords_against_brute_force():
-    texts = ["Ab  cde\nf", "", "éa", "a" * 7]
-    buckets, edges = toxicity.subwords(texts)
+def grams(word):
+    padded = f" {word} "
+    return [padded[k : k + n] for n in toxicity.NGRAMS for k in range(len(padded) - n + 1) if " " not in padded[k + 1 : k + n - 1]] + [("whole", word)]
+
+
+def test_bags_against_brute_force():
+    texts = ["Ab  cde\nf ab", "", "éa", "a" * 7, "x y x y x"]
+    text, word, count, buckets, owner = toxicity.words(texts)
+    distinct = {w for t in texts for w in t.lower().split()}
+    assert len(set(word.tolist())) == len(distinct) and len(buckets) == sum(len(grams(w)) for w in distinct)
+    for i, t in enumerate(texts):
+        held = t.lower().split()
+        assert sorted(count[text == i].tolist()) == sorted(held.count(w) for w in set(held))
+        sizes = np.bincount(owner)[word[text == i]]
+        assert sorted(sizes.tolist()) == sorted(len(grams(w)) for w in set(held))
+        b, part = toxicity.bag(t)
+        assert len(b) == len({g for w in set(held) for g in grams(w)})  # no two share a bucket here
+        if held:
+            weights = {}
+            for w in set(held):
+                for g in grams(w):
+                    weights[g] = weights.get(g, 0) + np.log2(1 + held.count(w))
+            assert np.allclose(sorted(part), sorted(v / (sum(weights.values()) + toxicity.NEUTRAL) for v in weights.values()))
+    table = np.random.default_rng(1).normal(size=toxicity.BUCKETS)
+    whole = toxicity.margins(texts, table, 0.5)
     for i, t in enumerate(texts):
-        padded = " " + "".join(" " if ord(c) <= 32 else c for c in t.lower()) + " "
-        grams = sum(1 for n in toxicity.NGRAMS for k in range(len(padded) - n + 1) if " " not in padded[k + 1 : k + n - 1])
-        assert edges[i + 1] - edges[i] == grams + len(t.split())
-    alone = [toxicity.subwords([t])[0] for t in texts]
-    assert all((np.sort(buckets[edges[i] : edges[i + 1]]) == np.sort(alone[i])).all() for i in range(len(texts)))
+        b, part = toxicity.bag(t)
+        assert np.isnan(whole[i]) if not t else np.isclose(whole[i], table[b] @ part + 0.5, atol=1e-5)
 
 
 def test_toxicity_odd_cases(spark):
