@@ -7,10 +7,13 @@ Each document is the set of its word trigrams, as 64-bit hashes. Its sketch is t
    their values must share one among each one's rarest 1 - RETAINED of them plus one, so only that part is listed. A passage that
    very many documents share is frequent, and drops out of the lists of all that have enough else.
 3. Each list pairs its members with a leader, drawn by hash in one of ORDERS orders, which the list's value chooses.
-   A list of m members makes m-1 pairs, so groups of any size cost in proportion, and a document meets several leaders.
+   A list of m members makes m-1 pairs, so what resembles its leaders is grouped at a cost in proportion.
 4. The union sketch of each pair estimates its Jaccard similarity; pairs far below the threshold go.
 5. The exact Jaccard similarity of the two sets verifies the rest.
-6. Connected components of the verified pairs are the groups; the smallest doc_id stands for its group.
+6. Then each list pairs all those of its members that are not in one group yet, whichever they are, and 4 and 5 follow: first for
+   the pairs whose estimate reaches the threshold, then for the others that these leave in different groups. So the groups are
+   those that all pairs of every list would give; only members that no group joins cost the square of their number.
+7. Connected components of the verified pairs are the groups; the smallest doc_id stands for its group.
 
 Defined cases: rows with null doc_id cannot be named, so they belong to no group and stay. Texts that are null or have
 no word belong to no group. A text of one or two words is one shingle. Rows that repeat a doc_id are one document,
@@ -37,6 +40,8 @@ RETAINED = 0.45
 ORDERS = 4
 #: Estimates this far below THRESHOLD (2.6 standard deviations at SKETCH values) go without verification.
 SLACK = 0.15
+#: A list of more groups than this is split, and each part paired with the whole list by a task of its own.
+PART = 1000
 BLOCK = 1 << 20
 
 
@@ -99,8 +104,8 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         release()
 
 
-def candidate_pairs(distinct: DataFrame) -> DataFrame:
-    """(a, b) with a < b from the inverted lists of `distinct` (doc, sketch), each pair once."""
+def inverted_lists(distinct: DataFrame) -> DataFrame:
+    """(doc, value): the lists of the values that `distinct` (doc, sketch) retains, each document in those of its rarest."""
     entries = distinct.select("doc", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
     shared = entries.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     mine = W.partitionBy("doc")
@@ -112,21 +117,63 @@ def candidate_pairs(distinct: DataFrame) -> DataFrame:
         .filter(F.col("rank") + F.col("kept") - F.col("here") <= F.col("kept") - F.ceil(F.col("kept") * RETAINED) + 1)
         .select("doc", "value")
     )
-    prefix = written(prefix, "minhash-lists")
+    return written(prefix, "minhash-lists")
+
+
+def leader_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b) with a < b, each once: the members of each list with its leader."""
     drawn = F.struct(F.xxhash64("doc", F.pmod("value", F.lit(ORDERS))).alias("draw"), F.col("doc").alias("leader"))
-    leaders = prefix.groupBy("value").agg(F.min(drawn).alias("m"), F.count("*").alias("c")).filter("c > 1").select("value", "m.leader")
-    met = prefix.join(leaders, "value").filter("doc <> leader")
+    leaders = lists.groupBy("value").agg(F.min(drawn).alias("m"), F.count("*").alias("c")).filter("c > 1").select("value", "m.leader")
+    met = lists.join(leaders, "value").filter("doc <> leader")
     return met.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
 
 
+def apart_pairs(lists: DataFrame, groups: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(a, b) with a < b, each once: all pairs of each list that `groups` (doc, rep) leaves apart and whose sizes can reach the threshold."""
+    sizes = distinct.select("doc", "n").join(groups, "doc", "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
+    split = lists.join(sizes, "doc").groupBy("value", "rep").agg(F.collect_list(F.struct("doc", "n")).alias("docs"))
+    split = written(split, "minhash-split")
+    parts = split.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1").select("value", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
+    split = split.join(parts, "value")
+    left = split.select("value", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.col("rep").alias("r"), F.col("docs").alias("x"))
+    right = split.select("value", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rep").alias("q"), F.col("docs").alias("y"))
+    met = left.join(right, ["value", "part"]).filter("r < q").select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
+    met = met.filter(F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * THRESHOLD)
+    return met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+
+
 def _estimated(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The pairs whose union sketch estimates a similarity within SLACK of the threshold."""
+    """(a, b, likely): the pairs whose union sketch estimates a similarity within SLACK of the threshold; likely, if it reaches it."""
     side = lambda k: distinct.select(F.col("doc").alias(k), F.col("sketch").alias("s" + k), F.col("n").alias("n" + k))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     ratio = F.least("na", "nb") >= F.greatest("na", "nb") * THRESHOLD  # sets of such sizes only can reach the threshold
-    return both.filter(ratio & (shared >= F.size(union) * (THRESHOLD - SLACK))).select("a", "b")
+    near = both.filter(ratio).select("a", "b", shared.alias("shared"), F.size(union).alias("of"))
+    return near.filter(F.col("shared") >= F.col("of") * (THRESHOLD - SLACK)).select("a", "b", (F.col("shared") >= F.col("of") * THRESHOLD).alias("likely"))
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Those of `pairs` that `groups` leaves apart."""
+    of = lambda k: groups.select(F.col("doc").alias(k), F.col("rep").alias("r" + k))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
+
+
+def near_groups(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(doc, rep) for each of `distinct` that is in a group, but the representatives."""
+    lists = inverted_lists(distinct)
+    near = written(verified_pairs(docs, written(_estimated(leader_pairs(lists), distinct), "minhash-pairs")), "minhash-verified")
+    groups = components(near)
+    rest = written(_estimated(apart_pairs(lists, groups, distinct), distinct), "minhash-rest")
+    for likely in (True, False):
+        pairs = written(_apart(rest.filter(F.col("likely") == likely), groups), "minhash-apart")
+        if pairs.isEmpty():
+            continue
+        more = written(verified_pairs(docs, pairs), "minhash-verified")
+        # A group's star joins what its verified pairs join.
+        stars = groups.select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+        groups = components(stars.unionByName(more.select("a", "b")))
+    return groups
 
 
 def verified_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -166,9 +213,7 @@ def duplicate_pairs(docs: DataFrame) -> DataFrame:
     folded = known.groupBy("h1", "h2", "n").agg(F.min("doc").alias("doc"), F.first("sketch").alias("sketch"))
     distinct = written(folded, "minhash-distinct")
     copies = known.select("doc", "h1", "h2", "n").join(distinct.select("h1", "h2", "n", F.col("doc").alias("rep")), ["h1", "h2", "n"]).filter("doc <> rep")
-    pairs = written(_estimated(candidate_pairs(distinct), distinct), "minhash-pairs")
-    near = written(verified_pairs(docs, pairs), "minhash-verified")
-    groups = components(near)
+    groups = near_groups(docs, distinct)
     # A copy's representative may itself have a smaller one.
     copies = copies.join(groups.select(F.col("doc").alias("rep"), F.col("rep").alias("above")), "rep", "left").select("doc", F.coalesce("above", "rep").alias("rep"))
     return copies.unionByName(groups).select(F.col("doc").alias("doc_id"), F.col("rep").alias("rep_id"))

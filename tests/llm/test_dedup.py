@@ -88,6 +88,20 @@ def test_big_group_of_equal_and_near_texts(spark):
     assert len(got) == 999 and set(got.values()) == {0}
 
 
+def test_one_original_and_its_separate_copies_against_all_pairs(spark):
+    rng = random.Random(15)
+    texts = []
+    for _ in range(2):
+        base = [rng.choice(WORDS) for _ in range(500)]
+        texts += [" ".join(base)] + [" ".join(edited(rng, base, rng.choice([0.08, 0.09, 0.1]))) for _ in range(300)]
+    rng.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if jaccard(sets[a], sets[b]) >= minhash.THRESHOLD]
+    got = {r.doc_id: r.rep_id for r in minhash.duplicate_pairs(frame(spark, texts)).collect()}
+    met = sum(got.get(a, a) == got.get(b, b) for a, b in pairs)
+    assert len(pairs) > 400 and met >= 0.97 * len(pairs), (met, len(pairs))
+
+
 def test_clashing_columns(spark):
     df = frame(spark, ["a b c d", "a b c d", "one\ntwo\nthree"]).withColumns({c: F.lit(1) for c in ("doc", "rep", "dropped_id", "row_key", "gone", "gone_doc", "new_text", "key", "place")})
     assert minhash.deduplicate(df).columns == df.columns and linededup.remove_repeats(df).columns == df.columns
