@@ -16,8 +16,9 @@ Each document is the set of its word trigrams, as 64-bit hashes. Its sketch is t
 7. Connected components of the verified pairs are the groups; the smallest doc_id stands for its group.
 
 Defined cases: rows with null doc_id cannot be named, so they belong to no group and stay. Texts that are null or have
-no word belong to no group. A text of one or two words is one shingle. Rows that repeat a doc_id are one document,
-that of the smaller set hash; `deduplicate` keeps one of its rows, with a text if one has it. Other columns are not looked at.
+no word belong to no group. A text of one or two words is one shingle. Rows that repeat a doc_id are one document, that of the
+smallest set hash among those with words; `deduplicate` keeps that row, of equal sets the one of smallest text, and of rows
+without words the first in order of text. doc_id must be a whole number, or cast to one. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from sortmill.llm._text import blocks, byte_view, mix64, powers64, release, word_hashes, word_spans
@@ -68,14 +70,28 @@ def shingle_sets(column: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]
                 yield np.empty(0, np.int64)
 
 
+def _set_hash(s: np.ndarray) -> tuple[int, int]:
+    """128 bits for a set of shingles, as two signed integers."""
+    u = s.view(np.uint64)
+    if not len(u):
+        return 0, 0
+    return int(u.sum(dtype=np.uint64).view(np.int64)), int(mix64(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64))
+
+
+@F.arrow_udf(T.StructType().add("h1", T.LongType()).add("h2", T.LongType()).add("n", T.IntegerType()))
+def set_hash(text: pa.Array) -> pa.Array:
+    made = [(*_set_hash(s), len(s)) for s in shingle_sets(text)]
+    return pa.StructArray.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["h1", "h2", "n"])
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, h1, h2, sketch = [], [], [], []
         for s in shingle_sets(batch.column(1)):
-            u = s.view(np.uint64)
+            a, b = _set_hash(s)
             n.append(len(s))
-            h1.append(int(u.sum(dtype=np.uint64).view(np.int64)) if len(u) else 0)
-            h2.append(int(mix64(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if len(u) else 0)
+            h1.append(a)
+            h2.append(b)
             sketch.append(s[:SKETCH])
         lengths = np.array([0, *map(len, sketch)], np.int32).cumsum(dtype=np.int32)
         values = np.concatenate(sketch) if sketch else np.empty(0, np.int64)
@@ -159,28 +175,37 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
 
 
-def near_groups(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(doc, rep) for each of `distinct` that is in a group, but the representatives."""
+def near_groups(docs: DataFrame, distinct: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """(doc, rep) for each of `distinct` that is in a group, but the representatives. `again` is as for `verified_pairs`."""
     lists = inverted_lists(distinct)
-    near = written(verified_pairs(docs, written(_estimated(leader_pairs(lists), distinct), "minhash-pairs")), "minhash-verified")
+    near = written(verified_pairs(docs, written(_estimated(leader_pairs(lists), distinct), "minhash-pairs"), again), "minhash-verified")
     groups = components(near)
     rest = written(_estimated(apart_pairs(lists, groups, distinct), distinct), "minhash-rest")
     for likely in (True, False):
         pairs = written(_apart(rest.filter(F.col("likely") == likely), groups), "minhash-apart")
         if pairs.isEmpty():
             continue
-        more = written(verified_pairs(docs, pairs), "minhash-verified")
+        more = written(verified_pairs(docs, pairs, again), "minhash-verified")
         # A group's star joins what its verified pairs join.
         stars = groups.select(F.col("doc").alias("a"), F.col("rep").alias("b"))
         groups = components(stars.unionByName(more.select("a", "b")))
     return groups
 
 
-def verified_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, jaccard): those of `pairs` whose exact Jaccard similarity reaches the threshold."""
+def verified_pairs(docs: DataFrame, pairs: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """(a, b, jaccard): those of `pairs` whose exact Jaccard similarity reaches the threshold.
+
+    `again` is (doc, m): the ids that rows repeat, with the set hash of the row that counts.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.col("text").cast("string").alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
-    texts = written(texts.join(small(ids, ids.count(), 16), "doc", "left_semi").dropDuplicates(["doc"]), "minhash-texts")
+    texts = texts.join(small(ids, ids.count(), 16), "doc", "left_semi")
+    if again is not None:
+        rows = again.count()
+        more = texts.join(small(again, rows, 64), "doc").withColumn("s", set_hash("text")).filter("s = m")
+        more = more.groupBy("doc").agg(F.min("text").alias("text"))  # of equal sets any text verifies alike
+        texts = texts.join(small(again.select("doc"), rows, 16), "doc", "left_anti").unionByName(more)
+    texts = written(texts, "minhash-texts")
     both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(_verify_batches, "a bigint, b bigint, jaccard double").filter(F.col("jaccard") >= THRESHOLD)
 
@@ -209,40 +234,42 @@ def components(edges: DataFrame) -> DataFrame:
 def duplicate_pairs(docs: DataFrame) -> DataFrame:
     """(doc_id, rep_id): every document that repeats another, exactly or nearly, with the smallest doc_id of its group."""
     known = written(sketches(docs), "minhash-sketches")
-    known = _one_per_id(known)
+    known, again = _one_per_id(known)
     folded = known.groupBy("h1", "h2", "n").agg(F.min("doc").alias("doc"), F.first("sketch").alias("sketch"))
     distinct = written(folded, "minhash-distinct")
     copies = known.select("doc", "h1", "h2", "n").join(distinct.select("h1", "h2", "n", F.col("doc").alias("rep")), ["h1", "h2", "n"]).filter("doc <> rep")
-    groups = near_groups(docs, distinct)
+    groups = near_groups(docs, distinct, again)
     # A copy's representative may itself have a smaller one.
     copies = copies.join(groups.select(F.col("doc").alias("rep"), F.col("rep").alias("above")), "rep", "left").select("doc", F.coalesce("above", "rep").alias("rep"))
     return copies.unionByName(groups).select(F.col("doc").alias("doc_id"), F.col("rep").alias("rep_id"))
 
 
-def _one_per_id(known: DataFrame) -> DataFrame:
-    """One row for each doc: where rows repeat it, that of the smallest (h1, h2, n)."""
-    again = known.groupBy("doc").agg(F.count("*").alias("c"), F.min(F.struct("h1", "h2", "n")).alias("m")).filter("c > 1")
+def _one_per_id(known: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """One row for each doc, where rows repeat it that of the smallest (h1, h2, n); and the docs that they repeat with that hash."""
+    again = known.groupBy("doc").agg(F.count("*").alias("c"), F.min(F.struct("h1", "h2", "n")).alias("m")).filter("c > 1").select("doc", "m")
+    again = written(again, "minhash-again")
     times = again.count()
     if not times:
-        return known
+        return known, None
     once = known.join(small(again.select("doc"), times, 16), "doc", "left_anti")
-    more = known.join(small(again, times, 64), "doc").filter("struct(h1, h2, n) = m").drop("c", "m").dropDuplicates(["doc"])
-    return written(once.unionByName(more), "minhash-once")
+    more = known.join(small(again, times, 64), "doc").filter("struct(h1, h2, n) = m").drop("m").dropDuplicates(["doc"])
+    return written(once.unionByName(more), "minhash-once"), again
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each group of duplicates, the one of smallest doc_id; columns as they came."""
     dropped = written(duplicate_pairs(docs).select("doc_id"), "minhash-dropped")
-    gone, key = fresh(docs, "dropped_id", "row_key")
+    gone, key, own = fresh(docs, "dropped_id", "row_key", "row_set")
     count = dropped.count()
-    kept = docs.join(small(dropped.select(F.col("doc_id").alias(gone)), count, 16), F.col("doc_id").cast("bigint") == F.col(gone), "left_anti")
+    match = F.col("doc_id").cast("bigint") == F.col(gone)
+    kept = docs.join(small(dropped.select(F.col("doc_id").alias(gone)), count, 16), match, "left_anti")
     again = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias(gone)).agg(F.count("*").alias(key)).filter(F.col(key) > 1).select(gone)
-    again = written(again, "minhash-again")
+    again = written(again, "minhash-repeated")
     times = again.count()
     if not times:
         return kept
-    match = F.col("doc_id").cast("bigint") == F.col(gone)
     once = kept.join(small(again, times, 16), match, "left_anti")
-    more = kept.join(small(again, times, 16), match, "left_semi")
-    first = W.partitionBy("doc_id").orderBy(F.col("text").isNull(), F.xxhash64("text"), F.xxhash64(*more.columns))
-    return once.unionByName(more.withColumn(key, F.row_number().over(first)).filter(F.col(key) == 1).drop(key))
+    more = kept.join(small(again, times, 16), match, "left_semi").withColumn(own, set_hash(F.col("text").cast("string")))
+    # Spark limits the groups before they are shuffled, so an id of very many rows is no burden on one task.
+    first = W.partitionBy("doc_id").orderBy(F.col(f"{own}.n") == 0, F.col(f"{own}.h1"), F.col(f"{own}.h2"), F.col(f"{own}.n"), F.col("text").isNull(), "text", F.xxhash64(*docs.columns))
+    return once.unionByName(more.withColumn(key, F.row_number().over(first)).filter(F.col(key) == 1).select(*docs.columns))

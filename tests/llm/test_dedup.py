@@ -1,8 +1,10 @@
 """Near duplicates, line chunks and fingerprints against brute force."""
 
+import hashlib
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,27 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash.duplicate_pairs(empty).count() == 0 and minhash.deduplicate(empty).columns == empty.columns
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_of_repeated_ids_the_stated_row_counts(spark, parts):
+    rng = random.Random(17)
+    draw = lambda: " ".join(rng.choice(WORDS) for _ in range(60))
+    rank = lambda t: [(*minhash._set_hash(s), len(s)) for s in minhash.shingle_sets(pa.array([t]))][0]
+    ids, texts, stands = [], [], {}
+    for i in range(40):
+        two = sorted([draw(), draw()], key=rank)
+        stands[100 + i] = two[0]
+        near = " ".join(edited(rng, two[0].split(), 0.02))
+        rows = [(100 + i, two[0]), (100 + i, two[1]), (100 + i, "  " if i % 2 else None), (i, near)]
+        rng.shuffle(rows)
+        ids += [d for d, _ in rows]
+        texts += [t for _, t in rows]
+    df = frame(spark, texts, ids).repartition(parts)
+    assert {r.doc_id: r.rep_id for r in minhash.duplicate_pairs(df).collect()} == {100 + i: i for i in range(40)}
+    alone = df.filter("doc_id >= 100")
+    assert minhash.duplicate_pairs(alone).count() == 0
+    assert {r.doc_id: r.text for r in minhash.deduplicate(alone).collect()} == stands and minhash.deduplicate(alone).count() == 40
+
+
 def test_big_group_of_equal_and_near_texts(spark):
     rng = random.Random(9)
     base = [rng.choice(WORDS) for _ in range(200)]
@@ -128,32 +151,47 @@ def test_components(spark):
 
 
 def brute_lines(rows):
-    """Rows (doc_id, text) after removal, by reading the corpus in order."""
-    seen, out = {}, []
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
-    firsts = {}
-    for i in order:
-        doc, text = rows[i]
-        for place, chunk in enumerate(linededup.chunks(text or "")):
-            joined = "\n".join(chunk)
-            if len(chunk) >= linededup.MIN_LINES and len(joined.encode()) >= linededup.MIN_BYTES:
-                at = (doc is None, doc or 0, place)
-                firsts[joined] = min(firsts.get(joined, at), at)
+    """Rows (doc_id, text) after removal, by the rule read literally: every window of every text, one after the other."""
+    docs = {}
     for doc, text in rows:
-        if text is None:
-            out.append((doc, None))
+        if text and "\n" in text:
+            dg = int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+            docs[doc is None, doc or 0, dg] = text.split("\n")
+    windows, firsts = [], {}
+    for d in sorted(docs):
+        lines = docs[d]
+        for p in range(len(lines)):
+            wide = [2] * (p + 1 < len(lines)) + [1] * (len(lines[p].encode()) >= linededup.LONG)
+            for w in wide:
+                chunk = tuple(lines[p : p + w])
+                firsts.setdefault(chunk, (d, p))
+                windows.append((d, p, w, firsts[chunk]))
+    chunks, open_ = [], {}
+    for d, p, w, (f, q) in windows:  # places ascend in each document
+        if (d, p) == (f, q):
             continue
-        left, lost = [], False
-        for place, chunk in enumerate(linededup.chunks(text)):
-            joined = "\n".join(chunk)
-            if joined in firsts and firsts[joined] != (doc is None, doc or 0, place):
-                lost = True
-            else:
-                left += [chunk]
-        if not lost:
-            out.append((doc, text))
-        elif left:
-            out.append((doc, "\n".join(line for c in left for line in c)))
+        run = open_.get((d, f, w, p - q))
+        if run and run[1] == p - 1:
+            run[1] = p
+        else:
+            run = open_[d, f, w, p - q] = [p, p]
+            chunks.append((d, f, w, p - q, run))
+    gone, kept = set(), set()
+    for d, f, w, shift, (low, high) in chunks:
+        high += w - 1
+        if len("\n".join(docs[d][low : high + 1]).encode()) >= linededup.MIN_BYTES:
+            gone |= {(d, i) for i in range(low, high + 1)}
+            kept |= {(f, i - shift) for i in range(low, high + 1)}
+    gone -= kept
+    out = []
+    for doc, text in rows:
+        if text and "\n" in text:
+            d = doc is None, doc or 0, int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+            left = [x for i, x in enumerate(docs[d]) if (d, i) not in gone]
+            if not left:
+                continue
+            text = "\n".join(left)
+        out.append((doc, text))
     return sorted(out, key=str)
 
 
@@ -168,7 +206,8 @@ def test_line_dedup_against_brute_force(spark):
             parts.append(rng.choice(shared))
         parts.append("\n".join(line() for _ in range(rng.randrange(0, 5))))
         rows.append((i, "\n".join(parts)))
-    rows += [(200, None), (201, ""), (202, shared[0]), (203, shared[0]), (None, shared[1]), (204, "\n" * 500), (205, "é\n" * 300)]
+    rows += [(200, None), (201, ""), (202, shared[0]), (203, shared[0]), (None, shared[1]), (None, shared[1]), (204, "\n" * 500), (205, "é\n" * 300), (206, shared[2]), (206, shared[3] + "\nmore"), (207, "one line only, and no more"), (208, "one line only, and no more")]
+    rows += [(210 + i, f"line {i} of its own\n" + "a line of many words " * 20 + f"\nits end {i}") for i in range(3)] + [(220, ("the same line again and again, to the very end of it\n" * 900)[:-1])]
     df = frame(spark, [t for _, t in rows], [d for d, _ in rows])
     got = linededup.remove_repeats(df).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == brute_lines(rows)
@@ -176,12 +215,23 @@ def test_line_dedup_against_brute_force(spark):
     assert sum(len(r.text or "") for r in got) < 0.9 * sum(len(t or "") for _, t in rows)
 
 
-def test_boundaries_resist_shifts():
-    rng = random.Random(12)
-    lines = [" ".join(rng.choice(WORDS) for _ in range(6)) for _ in range(60)]
-    plain = {tuple(c) for c in linededup.chunks("\n".join(lines))}
-    moved = {tuple(c) for c in linededup.chunks("\n".join(["before"] * 3 + lines))}
-    assert len(plain & moved) >= len(plain) - 2
+@pytest.mark.parametrize("lines", [2, 4, 10, 40])
+def test_passages_go_whatever_stands_around_them(spark, lines):
+    rng = random.Random(12 + lines)
+    line = lambda: " ".join(rng.choice(WORDS) for _ in range(10))
+    passages = [[line() for _ in range(lines)] for _ in range(40)]
+    texts = [[line() for _ in range(rng.randrange(1, 6))] + p + [line() for _ in range(rng.randrange(1, 6))] for p in passages * 2]
+    got = {r.doc_id: r.text.split("\n") for r in linededup.remove_repeats(frame(spark, ["\n".join(t) for t in texts])).collect()}
+    assert all(got[i] == texts[i] for i in range(40))
+    assert all(got[i + 40] == [x for x in texts[i + 40] if x not in p] for i, p in enumerate(passages))
+
+
+def test_overlapping_passages_stay_once_in_one_piece(spark):
+    rng = random.Random(16)
+    lines = [" ".join(rng.choice(WORDS) for _ in range(12)) for _ in range(12)]
+    texts = ["\n".join(lines[a:b]) for a, b in ((0, 4), (2, 7), (3, 12), (0, 12), (5, 9))]
+    left = "\n--\n".join(r.text for r in sorted(linededup.remove_repeats(frame(spark, texts)).collect()))
+    assert all(left.count("\n".join(lines[i : i + 2])) == 1 for i in range(11))
 
 
 def test_line_dedup_of_empty_table_and_equal_rows(spark):
