@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from sortmill.operators.lsm import write_segments
+from sortmill.shared import fresh
+
 Query = Mapping[str, Any]
 
 
@@ -57,8 +60,38 @@ def find_via_index(docs: DataFrame, index: DataFrame, fields: list[str], pk: str
         if f not in query:
             break
         entries = entries.filter(F.col(f"part{i}") == query[f])
-    hits = entries.select(F.col("pk").alias("__pk")).distinct()
-    return find(docs.join(hits, F.col(pk) == F.col("__pk"), "left_semi"), query)
+    (own,) = fresh(docs, "own_pk")
+    hits = entries.select(F.col("pk").alias(own)).distinct()
+    return find(docs.join(hits, F.col(pk) == F.col(own), "left_semi"), query)
+
+
+def ensure_index(docs: DataFrame, fields: list[str], pk: str, path: str) -> None:
+    """Writes the index of `fields` to `path`, in its key order, so that a query of its leading fields reads few row groups."""
+    index = index_entries(docs, fields, pk)
+    write_segments(index, [*[f"part{i}" for i in range(1, len(fields) + 1)], "pk"], path)
+
+
+def find_best(docs: DataFrame, query: Query, pk: str, indexes: Mapping[tuple[str, ...], DataFrame]) -> DataFrame:
+    """`find` by way of the index that serves the query best; by the documents themselves if none of its leading fields is named.
+
+    `indexes` has the entries of each secondary index by its fields, as `ensure_index` writes them.
+    """
+    fields = [[pk], *map(list, indexes)]
+    best, _, score = rank_indexes(query, fields)[0]
+    if best == 0 or score < 1:
+        return find(docs, query)
+    return find_via_index(docs, indexes[tuple(fields[best])], fields[best], pk, query)
+
+
+def insert(docs: DataFrame, new: DataFrame, pk: str) -> DataFrame:
+    """`docs` with the rows of `new`, which take the place of those of the same key; columns that one side lacks are null there.
+
+    Of rows of `new` that repeat a key one stays; a null key is a key.
+    """
+    (own,) = fresh(docs, "own_pk")
+    keys = new.select(F.col(pk).alias(own)).distinct()
+    kept = docs.join(keys, F.col(pk).eqNullSafe(F.col(own)), "left_anti")
+    return kept.unionByName(new.dropDuplicates([pk]), allowMissingColumns=True)
 
 
 def _numeric(kind: T.DataType) -> bool:
@@ -89,8 +122,9 @@ def apply_update(docs: DataFrame, spec: Mapping[str, Any], match: Column, limit_
     (adds; sets where the field is absent, null or no number), $unset (null), and on arrays $push, $pushAll, $addToSet, $pop (1: the
     last, -1: the first), $pull, $pullAll; $rename moves a field. Any other $ name is a ValueError, as is an increment that is no number.
     """
-    out = docs.withColumn("__hit", match)
-    hit = F.col("__hit")
+    (mark,) = fresh(docs, "hit")
+    out = docs.withColumn(mark, match)
+    hit = F.col(mark)
 
     def put(df: DataFrame, path: str, new: Column, literal: bool = False) -> DataFrame:
         known = path in df.columns if literal else _kind(df, path) is not None
@@ -137,7 +171,7 @@ def apply_update(docs: DataFrame, spec: Mapping[str, Any], match: Column, limit_
                 out = put(out, path, _ARRAYS[op](F.col(path), value))
             else:
                 raise ValueError(f"unknown operator {op}")
-    return out.drop("__hit")
+    return out.drop(mark)
 
 
 def _pop(c: Column, end: int) -> Column:
@@ -163,17 +197,19 @@ def first_matches(docs: DataFrame, query: Query, pk: str, limit: int) -> DataFra
 def update(docs: DataFrame, query: Query, spec: Mapping[str, Any], pk: str, limit: int | None = None) -> DataFrame:
     if limit is None:
         return apply_update(docs, spec, matches(query))
-    keys = first_matches(docs, query, pk, limit).select(F.col(pk).alias("__chosen"))
-    marked = docs.join(keys, F.col(pk) == F.col("__chosen"), "left")
-    return apply_update(marked, spec, F.col("__chosen").isNotNull()).drop("__chosen")
+    (chosen,) = fresh(docs, "chosen")
+    keys = first_matches(docs, query, pk, limit).select(F.col(pk).alias(chosen))
+    marked = docs.join(keys, F.col(pk) == F.col(chosen), "left")
+    return apply_update(marked, spec, F.col(chosen).isNotNull()).drop(chosen)
 
 
 def upsert(docs: DataFrame, query: Query, spec: Mapping[str, Any], pk: str) -> DataFrame:
     """`update`, and where nothing matches one new document of the query's fields with the spec applied."""
     types = docs.schema
     blank = docs.sparkSession.range(1).select(*[F.lit(query.get(f.name)).cast(f.dataType).alias(f.name) for f in types])
-    none = find(docs, query).limit(1).agg(F.count("*").alias("__n")).filter("__n = 0")
-    new = apply_update(blank, spec, F.lit(True)).crossJoin(F.broadcast(none)).drop("__n")
+    (n,) = fresh(docs, "n")
+    none = find(docs, query).limit(1).agg(F.count("*").alias(n)).filter(F.col(n) == 0)  # one row or none
+    new = apply_update(blank, spec, F.lit(True)).crossJoin(F.broadcast(none)).drop(n)
     return update(docs, query, spec, pk).unionByName(new)
 
 
@@ -186,12 +222,14 @@ def replace(docs: DataFrame, query: Query, document: Mapping[str, Any], pk: str)
 def delete(docs: DataFrame, query: Query, pk: str | None = None, limit: int | None = None) -> DataFrame:
     if limit is None:
         return docs.filter(~matches(query))
-    keys = first_matches(docs, query, pk, limit).select(F.col(pk).alias("__gone"))
-    return docs.join(keys, F.col(pk) == F.col("__gone"), "left_anti")
+    (gone,) = fresh(docs, "gone")
+    keys = first_matches(docs, query, pk, limit).select(F.col(pk).alias(gone))
+    return docs.join(keys, F.col(pk) == F.col(gone), "left_anti")
 
 
 def delete_per_group(docs: DataFrame, query: Query, pk: str, limit: int, groups: list[str]) -> DataFrame:
     """As `delete` with a limit for each group, in one pass."""
-    nth = F.row_number().over(W.partitionBy(*groups, F.col("__hit")).orderBy(pk))
-    marked = docs.withColumn("__hit", matches(query)).withColumn("__nth", nth)
-    return marked.filter(~(F.col("__hit") & (F.col("__nth") <= limit))).drop("__hit", "__nth")
+    hit, place = fresh(docs, "hit", "nth")
+    nth = F.row_number().over(W.partitionBy(*groups, F.col(hit)).orderBy(pk))
+    marked = docs.withColumn(hit, matches(query)).withColumn(place, nth)
+    return marked.filter(~(F.col(hit) & (F.col(place) <= limit))).drop(hit, place)

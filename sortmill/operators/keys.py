@@ -93,6 +93,33 @@ def decode(key: bytes) -> list:
     return out
 
 
+_LATIN = "ISO-8859-1"
+
+
+def _number(wide: Column, at: Column) -> Column:
+    """The 8 bytes from `at` as the number that `_fixed` wrote. Their upper half is below 2**32, so no conversion overflows."""
+    half = lambda k: F.conv(F.hex(F.encode(F.substring(wide, at + k, F.lit(4)), _LATIN)), 16, 10).cast("bigint")
+    return (half(0) - (1 << 31)) * F.lit(1 << 32) + half(4)
+
+
+def decode_parts(key: Column, *tags: int) -> list[Column]:
+    """The values of an encoded key of known part types, as columns: a bigint, string or binary for each tag."""
+    wide, at, out = F.decode(key, _LATIN), F.lit(1), []
+    for tag in tags:
+        here = at + 1
+        if tag in (LONG, TS_ATTRIBUTE):
+            out.append(F.when(F.substring(wide, at, F.lit(1)) == chr(tag), _number(wide, here)))
+            at = here + 8
+            continue
+        # No 00 inside a part is followed by another, so the first pair of them ends it.
+        end = F.call_function("locate", F.lit(_END), wide, here)
+        held = F.encode(F.replace(F.substring(wide, here, end - here), F.lit(_ZERO_ONE), F.lit(_ZERO)), _LATIN)
+        good = F.substring(wide, at, F.lit(1)) == chr(tag)
+        out.append(F.when(good, F.decode(held, "UTF-8") if tag == STRING else held))
+        at = end + 2
+    return out
+
+
 def typed(tag: int, long: Column | None = None, string: Column | None = None, raw: Column | None = None) -> Column:
     """One part as a struct; arrays of such structs compare as keys do."""
     pick = lambda c, kind: (c if c is not None else F.lit(None)).cast(kind)

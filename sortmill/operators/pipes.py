@@ -63,6 +63,12 @@ def parts_of(key: Column) -> Column:
     return F.transform(F.filter(F.split(key, "/"), lambda p: p.startswith("=")), lambda p: F.substring(p, 2, 1 << 30))
 
 
+def context_of(key: Column, names: list[str]) -> Column:
+    """The context that a chain of partitions made a key from: a struct of its values by name, null where the key is shorter."""
+    values = parts_of(key)
+    return F.struct(*[F.try_element_at(values, F.lit(i)).alias(n) for i, n in enumerate(names, 1)])
+
+
 def exact(c: Column, value: Any) -> Column:
     """Equals `value`, which may not be null."""
     if value is None:
@@ -79,6 +85,38 @@ def starts(c: Column, prefix: str) -> Column:
     return c.cast("string").startswith(prefix)
 
 
+def ranging(c: Column, low: Any = None, high: Any = None) -> Column:
+    """Between two values, both included; None leaves an end open."""
+    ok = c.isNotNull()
+    if low is not None:
+        ok = ok & (c >= F.lit(low))
+    return ok if high is None else ok & (c <= F.lit(high))
+
+
+def looked_up(df: DataFrame, name: str, allowed: DataFrame, column: str) -> DataFrame:
+    """Rows whose `name` is among the values that another query gives."""
+    return df.join(allowed.select(F.col(column).alias(name)).distinct(), name, "left_semi")
+
+
+def key_bounds(parts: list[Any]) -> tuple[str, str]:
+    """The lowest and highest key, both included, that a row qualifier admits: leading values exact, from the first None on any.
+
+    A part is written `/=value`, so any part lies between `/<` and `/>`.
+    """
+    lead = ""
+    for value in parts:
+        if value is None:
+            return lead + "/<", lead + "/>"
+        lead += f"{PREFIX}{value}"
+    return lead, lead
+
+
+def in_row_range(key: Column, parts: list[Any]) -> Column:
+    """Whether a key made by a pipe lies in the range of a row qualifier: a range of one column, which reaches the scan."""
+    low, high = key_bounds(parts)
+    return key.between(low, high)
+
+
 def excluding(c: Column, value: Any) -> Column:
     return c != F.lit(value)
 

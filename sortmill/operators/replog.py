@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from sortmill.operators.lsm import merge_read
+from sortmill.shared import fresh, sized
 
 
 def status(log: DataFrame, server: str, stamp: str) -> DataFrame:
@@ -43,8 +45,34 @@ def remaining(log: DataFrame, server: str, stamp: str, after: int) -> DataFrame:
     return tail(log, server, stamp, None, after).groupBy("server_guid").agg(F.count("*").alias("remaining"))
 
 
-def resume(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """(g, action) for each of their logs, from two `status` tables: rebuild, resolve or replay."""
+def append_entries(log: DataFrame, entries: DataFrame, server: str, stamp: str) -> DataFrame:
+    """`log` with new entries of one server each, stamped after its head in the order of their own `stamp`: 1, 2, ... behind it."""
+    head, own, nth = fresh(entries, "head", "own", "nth")
+    heads = log.groupBy(F.col(server).alias(own)).agg(F.max(stamp).alias(head))
+    order = F.row_number().over(W.partitionBy(server).orderBy(stamp))
+    new = entries.withColumn(nth, order).join(heads, F.col(server) == F.col(own), "left")
+    return log.unionByName(new.withColumn(stamp, (F.coalesce(head, F.lit(0)) + F.col(nth)).cast(log.schema[stamp].dataType)).select(*log.columns))
+
+
+def same_instance(ours: str, theirs: str) -> None:
+    """ValueError unless both servers hold the same data instance: their logs cannot be compared otherwise."""
+    if ours != theirs:
+        raise ValueError(f"data instance {theirs} is not {ours}")
+
+
+def rebuilt(source: DataFrame, log: DataFrame, keys: list[str], stamp: str, until: int) -> tuple[DataFrame, DataFrame]:
+    """A replica made anew: what another server's updates show up to `until`, nothing of its own, and of the log the heads up to there."""
+    data = merge_read(source.filter(F.col(stamp) <= until), keys, [stamp])
+    return data, log.filter(F.col(stamp) <= until)
+
+
+def resume(ours: DataFrame, theirs: DataFrame, instances: tuple[str, str] | None = None) -> DataFrame:
+    """(g, action) for each of their logs, from two `status` tables: rebuild, resolve or replay.
+
+    `instances` names our data instance and theirs; where they differ that is an error.
+    """
+    if instances:
+        same_instance(*instances)
     mine = ours.select(F.col("server_guid").alias("g"), F.col("log_commit_head").alias("mine"))
     their = theirs.select(F.col("server_guid").alias("g"), F.col("oldest_entry_pointer").alias("oldest"), F.col("log_commit_head").alias("head"))
     action = (
@@ -62,9 +90,9 @@ def decision(actions: DataFrame) -> DataFrame:
     return actions.agg(F.max_by("action", rank).alias("decision"))
 
 
-def applied(log: DataFrame, key: str, stamp: str, servers: list[str]) -> DataFrame:
+def applied(log: DataFrame, key: str, stamp: str, servers: list[str], server: str = "server") -> DataFrame:
     """(key, last_logstamp, applied): the entries of some servers replayed, by the key that they write."""
-    rows = log.filter(F.col("server").isin(servers))
+    rows = log.filter(F.col(server).isin(servers))
     return rows.groupBy(key).agg(F.max(stamp).alias("last_logstamp"), F.count("*").alias("applied"))
 
 
@@ -75,8 +103,9 @@ def replay(data: DataFrame, entries: DataFrame, keys: list[str], stamp: str) ->
 
 def truncated(log: DataFrame, server: str, stamp: str) -> DataFrame:
     """Each server's newest entry alone."""
-    head = log.groupBy(F.col(server).alias("__s")).agg(F.max(stamp).alias("__h"))
-    return log.join(head, (F.col(server) == F.col("__s")) & (F.col(stamp) == F.col("__h")), "left_semi")
+    own, last = fresh(log, "own", "last")
+    head = log.groupBy(F.col(server).alias(own)).agg(F.max(stamp).alias(last))
+    return log.join(head, (F.col(server) == F.col(own)) & (F.col(stamp) == F.col(last)), "left_semi")
 
 
 def lag(log: DataFrame, server: str, stamp: str, seen: DataFrame, near: int = 5, lost: int = 30) -> DataFrame:
@@ -84,7 +113,9 @@ def lag(log: DataFrame, server: str, stamp: str, seen: DataFrame, near: int = 5,
 
     `seen` is (server_guid, at).
     """
-    rows = log.join(F.broadcast(seen), F.col(server) == F.col("server_guid"), "left")
-    behind = rows.groupBy(F.col(server).alias("server_guid")).agg(F.count(F.when(F.col(stamp) > F.coalesce("at", F.lit(0)), 1)).alias("behind"))
+    own, at = fresh(log, "own", "at")
+    marks = seen.select(F.col("server_guid").alias(own), F.col("at").alias(at))
+    rows = log.select(server, stamp).join(sized(marks, marks.count(), 64), F.col(server) == F.col(own), "left")
+    behind = rows.groupBy(F.col(server).alias("server_guid")).agg(F.count(F.when(F.col(stamp) > F.coalesce(at, F.lit(0)), 1)).alias("behind"))
     state = F.when(F.col("behind") < near, "caught_up").when(F.col("behind") > lost, "lost").otherwise("following")
     return behind.withColumn("state", state)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sortmill.operators.order import nearest, ranked
+from sortmill.shared import fresh
 
 
 def key_range(key: Column, low: Any = None, high: Any = None) -> Column:
@@ -51,9 +52,10 @@ def find_prev(probes: DataFrame, probe: str, df: DataFrame, key: str, equal_ok:
 
 def get_records(probes: DataFrame, probe: str, df: DataFrame, key: str, *values: str, status: str = "status") -> DataFrame:
     """Each probe with PRESENT or MISSING and the values of its record."""
-    held = df.select(F.col(key).alias("__key"), *values)
-    state = F.when(F.col("__key").isNull(), F.lit("MISSING")).otherwise(F.lit("PRESENT"))
-    return probes.join(held, F.col(probe) == F.col("__key"), "left").select(*probes.columns, state.alias(status), *values)
+    (own,) = fresh(probes, "own_key")
+    held = df.select(F.col(key).alias(own), *values)
+    state = F.when(F.col(own).isNull(), F.lit("MISSING")).otherwise(F.lit("PRESENT"))
+    return probes.join(held, F.col(probe) == F.col(own), "left").select(*probes.columns, state.alias(status), *values)
 
 
 def page(df: DataFrame, key: str, start: Any, count: int, after: bool = False) -> DataFrame:

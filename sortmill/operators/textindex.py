@@ -1,4 +1,7 @@
-"""An inverted index of words and conjunctive search over it, all in built-in functions.
+"""An inverted index of words and search over it, all in built-in functions.
+
+The index is written once, sorted by word; a search reads the row groups of its terms. `search` tests the texts themselves instead,
+for a table that is searched once.
 
 A null text has no words. A word's postings hold each document once. Search words are taken as they are, case and all,
 unless asked to be tokenised as the index was; a repeated word counts once, an empty query finds nothing.
@@ -6,9 +9,13 @@ unless asked to be tokenised as the index was; a repeated word counts once, an e
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sortmill import shared
+
 SEPARATORS, RULES = r"""[-*()"'\[\]:\s?.,]+""", r"""([-"':+_=/|]{3,})"""
 
 
@@ -59,11 +66,88 @@ def search(docs: DataFrame, terms: list[str], doc: str = "doc_id", text: str = "
     return rows.select(doc).distinct()
 
 
-def search_postings(index: DataFrame, terms: list[str], doc: str = "doc_id") -> DataFrame:
+def write_index(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text") -> None:
+    """The postings with positions, (word, doc, freq, at), as files sorted by word and document: a search reads few row groups.
+
+    One shuffle by word and document; a word that a third of all rows hold lies in as many files as its postings fill.
+    """
+    held = positions(docs, doc, text).groupBy("word", doc).agg(F.count("*").alias("freq"), F.array_sort(F.collect_list("at")).alias("at"))
+    held.repartitionByRange("word", doc).sortWithinPartitions("word", doc).write.option("compression", "zstd").option("parquet.block.size", str(8 << 20)).parquet(path)
+
+
+_indexes: dict[tuple, str] = {}
+
+
+def stored_index(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The index of the files that `docs` reads, written to the shared folder when first asked for and read from there afterwards.
+
+    It is known by those files' names, sizes and times: where they change it is made again.
+    """
+    spark = docs.sparkSession
+    files = []
+    for f in sorted(docs.inputFiles()):
+        at, fs = shared.path_of(spark, f)
+        state = fs.getFileStatus(at)
+        files.append((f, state.getLen(), state.getModificationTime()))
+    key = (spark.sparkContext.applicationId, tuple(files), doc, text)
+    if key not in _indexes:
+        path = shared.fresh_path(spark, "text-index")
+        write_index(docs, path, doc, text)
+        _indexes[key] = path
+    return spark.read.parquet(_indexes[key])
+
+
+def _terms_of(index: DataFrame, terms: list[str], *columns: str) -> DataFrame:
+    return index.filter(F.col("word").isin(terms)).select("word", *columns)
+
+
+def search_postings(index: DataFrame, terms: list[str], doc: str = "doc_id", after: int | None = None) -> DataFrame:
     """As `search`, over a stored index: its rows of the terms only, pruned by word, and one aggregate."""
     terms = list(dict.fromkeys(terms))
-    hits = index.filter(F.col("word").isin(terms)).groupBy(doc).agg(F.countDistinct("word").alias("__n"))
-    return hits.filter(F.col("__n") == len(terms)).filter(F.lit(bool(terms))).select(doc)
+    hits = _terms_of(index, terms, doc)
+    if after is not None:
+        hits = hits.filter(F.col(doc) > after)
+    (n,) = shared.fresh(hits, "n")
+    found = hits.groupBy(doc).agg(F.count("*").alias(n))  # a word's postings hold each document once
+    return found.filter(F.col(n) == len(terms)).filter(F.lit(bool(terms))).select(doc)
+
+
+def search_any(index: DataFrame, terms: list[str], doc: str = "doc_id", without: list[str] = ()) -> DataFrame:
+    """The documents that hold any of the terms and none of `without`."""
+    without = list(dict.fromkeys(without))
+    rows = _terms_of(index, list(dict.fromkeys([*terms, *without])), doc)
+    found = rows.groupBy(doc).agg(F.max(F.col("word").isin(without) if without else F.lit(False)).alias("bad"), F.max(F.col("word").isin(list(terms))).alias("good"))
+    return found.filter("good AND NOT bad").select(doc)
+
+
+def _before(k: int, place: Column) -> Column:
+    return place - k
+
+
+def search_near(index: DataFrame, terms: list[str], within: int | None = None, doc: str = "doc_id") -> DataFrame:
+    """The documents with the terms as a phrase; or, if `within` is given, with all of them inside so many words, in any order."""
+    distinct = list(dict.fromkeys(terms))
+    rows = _terms_of(index, distinct, doc, "at").groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("held"))
+    rows = rows.filter(F.size("held") == len(distinct)).filter(F.lit(bool(distinct)))
+    places = lambda t: F.element_at("held", F.lit(t))
+    if within is None:
+        # The places where the phrase could begin, term after term.
+        starts = places(terms[0]) if terms else F.array()
+        for k, t in enumerate(terms[1:], 1):
+            starts = F.array_intersect(starts, F.transform(places(t), partial(_before, k)))
+        return rows.filter(F.size(starts) > 0).select(doc)
+    # A window that begins at some term's place, and holds one of each.
+    all_places = F.flatten(F.array(*[places(t) for t in distinct]))
+    inside = lambda s: reduce(lambda ok, t: ok & F.exists(places(t), lambda p: (p >= s) & (p < s + within)), distinct, F.lit(True))
+    return rows.filter(F.exists(all_places, inside)).select(doc)
+
+
+def tf_idf(index: DataFrame, terms: list[str], documents: int, doc: str = "doc_id") -> DataFrame:
+    """(doc, score): the sum over the terms of freq * ln(documents / documents with the term)."""
+    rows = _terms_of(index, list(dict.fromkeys(terms)), doc, "freq")
+    seen = rows.groupBy("word").agg(F.count("*").alias("df"))  # one row a term
+    weight = F.col("freq") * F.ln(F.lit(float(documents)) / F.col("df"))
+    return rows.join(F.broadcast(seen), "word").groupBy(doc).agg(F.sum(weight).alias("score"))
 
 
 def query_terms(expression: str, normalise: bool = False) -> list[str]:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sortmill.operators.lsm import TOMBSTONE, TYPE, newest_wins, visible
+from sortmill.operators.lsm import FULL, TOMBSTONE, TYPE, newest_wins, visible
+from sortmill.shared import fresh
 
 
 def namespace(df: DataFrame, ns: str, column: str = "ns") -> DataFrame:
@@ -36,11 +37,50 @@ def frozen(updates: DataFrame, version: str) -> Any:
     return updates.agg(F.max(version)).first()[0]
 
 
+class Frozen(RuntimeError):
+    """A write to a snapshot that was taken for reading only."""
+
+
+class SnapshotStage:
+    """A keyspace whose writes carry the number of the snapshot that was open when they were made.
+
+    `updates` is a log with a column `version`; a write gives a new stage, and so does a snapshot, which closes the number before.
+    A stage from `at` reads an older snapshot, and is frozen.
+    """
+
+    def __init__(self, updates: DataFrame, keys: list[str], current: int = 0, until: int | None = None) -> None:
+        self.updates, self.keys, self.current, self.until = updates, keys, current, until
+
+    def write(self, rows: DataFrame) -> "SnapshotStage":
+        """The stage with `rows`, which are FULL unless they have an update type; tombstones are rows like others."""
+        if self.until is not None:
+            raise Frozen(f"snapshot {self.until} is frozen")
+        kind = F.col(TYPE) if TYPE in rows.columns else F.lit(FULL)
+        new = rows.withColumn(TYPE, kind).withColumn("version", F.lit(self.current).cast(self.updates.schema["version"].dataType))
+        # A snapshot's own writes replace each other, the later ones last.
+        old = self.updates.filter(F.col("version") == self.current).join(new.select(*self.keys).distinct(), self.keys, "left_anti")
+        return SnapshotStage(self.updates.filter(F.col("version") != self.current).unionByName(old).unionByName(new, allowMissingColumns=True), self.keys, self.current)
+
+    def delete(self, keys: DataFrame) -> "SnapshotStage":
+        return self.write(keys.select(*self.keys).withColumn(TYPE, F.lit(TOMBSTONE)))
+
+    def take(self) -> tuple["SnapshotStage", int]:
+        """The stage to write on in, and the number under which what is there now stays readable."""
+        return SnapshotStage(self.updates, self.keys, self.current + 1), self.current
+
+    def at(self, number: int) -> "SnapshotStage":
+        return SnapshotStage(self.updates, self.keys, number, number)
+
+    def read(self) -> DataFrame:
+        return snapshot(self.updates, self.keys, ["version"], None if self.until is None else F.col("version") <= self.until)
+
+
 def cell_versions(cells: DataFrame, keys: list[str], version: str, count: int, until: Column | None = None) -> DataFrame:
     """The `count` newest versions of each cell."""
     seen = cells if until is None else cells.filter(until)
+    (nth,) = fresh(cells, "nth")
     order = W.partitionBy(*keys).orderBy(F.col(version).desc())
-    return seen.withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= count).drop("__nth")
+    return seen.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) <= count).drop(nth)
 
 
 def row_maps(cells: DataFrame, row: str, column: str, version: str, value: str, until: Column | None = None) -> DataFrame:
@@ -60,7 +100,8 @@ def slice_columns(cells: DataFrame, row: str, column: str, names: list[str] | No
     if finish is not None:
         kept = kept.filter(F.col(column) >= finish if reverse else F.col(column) <= finish)
     order = W.partitionBy(row).orderBy(F.col(column).desc() if reverse else F.col(column).asc())
-    return kept.withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= count).drop("__nth")
+    (nth,) = fresh(cells, "nth")
+    return kept.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) <= count).drop(nth)
 
 
 def slice_count(cells: DataFrame, row: str, column: str) -> DataFrame:
@@ -75,5 +116,13 @@ def counters(increments: DataFrame, keys: list[str], amount: Column) -> DataFram
 
 def delete_cells(cells: DataFrame, doomed: DataFrame, keys: list[str], version: str, upto: str) -> DataFrame:
     """`cells` without those that a row of `doomed` deletes: same keys, version not above its `upto`."""
-    marks = doomed.groupBy(*keys).agg(F.max(upto).alias("__upto"))
-    return cells.join(marks, keys, "left").filter(F.col("__upto").isNull() | (F.col(version) > F.col("__upto"))).drop("__upto")
+    (mark,) = fresh(cells, "mark")
+    marks = doomed.groupBy(*keys).agg(F.max(upto).alias(mark))
+    return cells.join(marks, keys, "left").filter(F.col(mark).isNull() | (F.col(version) > F.col(mark))).drop(mark)
+
+
+def mutate_rows(cells: DataFrame, mutations: DataFrame, row: str, column: str, version: str) -> DataFrame:
+    """`cells` after a batch of mutations (row, column, version, a value column, `deleted`): a deletion takes the cell's versions up to its own."""
+    gone = mutations.filter("deleted").groupBy(row, column).agg(F.max(version).alias("upto"))
+    kept = delete_cells(cells, gone, [row, column], version, "upto")
+    return kept.unionByName(mutations.filter("NOT deleted").drop("deleted"))

@@ -15,6 +15,7 @@ from sortmill.functions import codec
 from sortmill.operators import documents, keys, lsm, pipes, replog, scan, textindex, versions
 from sortmill.operators.order import ranked
 from sortmill.shared import fresh_path, sized, table
+from sortmill.sources import updatelog
 from sortmill.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,12 +166,12 @@ def _two(spark, d):
 _BOTH = "(SELECT s_suppkey AS k, s_name AS v, 'one' AS src FROM supplier UNION ALL SELECT c_custkey, c_name, 'two' FROM customer) t"
 
 
-@query(f"SELECT k, v, src FROM {_BOTH}")
+@query(f"SELECT row_number() OVER (ORDER BY k, src) AS pos, k, v, src FROM {_BOTH}")
 def sorted_merge_all(spark, d):
     return lsm.merge_sorted(*_two(spark, d), ["k"])
 
 
-@query(f"SELECT k, arg_min(v, src) AS v, min(src) AS src FROM {_BOTH} GROUP BY k")
+@query(f"SELECT row_number() OVER (ORDER BY k) AS pos, k, arg_min(v, src) AS v, min(src) AS src FROM {_BOTH} GROUP BY k")
 def sorted_merge_left_wins(spark, d):
     return lsm.merge_sorted(*_two(spark, d), ["k"], left_wins=True)
 
@@ -190,7 +191,7 @@ def segment_index(spark, d):
     return lsm.segment_index(table(spark, d, "orders"), "o_orderkey", 500)
 
 
-SPAN = 700
+SPAN, PLANNED = 700, 200
 
 
 def _segments(spark, d):
@@ -203,14 +204,26 @@ _SEGMENTS = f"s AS (SELECT event_id % 3 AS gen, event_id // {SPAN} AS slot, min(
 
 @query(f"WITH {_SEGMENTS} SELECT a.gen AS src_gen, a.slot AS src_slot, b.gen AS tgt_gen, b.slot AS tgt_slot FROM s a JOIN s b ON a.gen > b.gen AND a.lo <= b.hi AND a.hi >= b.lo")
 def segment_overlap(spark, d):
-    return lsm.segment_overlap(_segments(spark, d), SPAN)
+    return lsm.segment_overlap(_segments(spark, d))
+
+
+@query(f"WITH {_SEGMENTS}, t AS (SELECT gen, slot, 'test/rnd/' || lpad(lo::VARCHAR, 9, '0') AS lo, 'test/rnd/' || lpad(hi::VARCHAR, 9, '0') AS hi FROM s) SELECT a.gen AS src_gen, a.slot AS src_slot, b.gen AS tgt_gen, b.slot AS tgt_slot FROM t a JOIN t b ON a.gen > b.gen AND a.lo <= b.hi AND a.hi >= b.lo")
+def segment_overlap_strings(spark, d):
+    named = lambda c: F.concat(F.lit("test/rnd/"), F.lpad(F.col(c).cast("string"), 9, "0")).alias(c)
+    return lsm.segment_overlap(_segments(spark, d).select("gen", "slot", named("lo"), named("hi")))
+
+
+@query("SELECT gen, slot, CASE WHEN slot % 5 = 0 THEN 'missing' ELSE 'unlisted' END AS state FROM (SELECT DISTINCT event_id % 3 AS gen, event_id // 700 AS slot FROM events) t WHERE slot % 5 = 0 OR slot % 7 = 0 AND slot % 5 <> 0")
+def segment_verify(spark, d):
+    listed, found = _segments(spark, d).filter("slot % 7 <> 0 OR slot % 5 = 0"), _segments(spark, d).filter("slot % 5 <> 0")
+    return lsm.compare_segments(listed, found, ["gen", "slot"])
 
 
 @query(f"WITH {_SEGMENTS}, p AS (SELECT s_suppkey AS pid, s_suppkey * 131 AS lo, s_suppkey * 131 + 40 AS hi FROM supplier) SELECT pid, coalesce(max(s.gen) + 1, 0) AS safe_gen FROM p LEFT JOIN s ON p.lo <= s.hi AND p.hi >= s.lo GROUP BY pid")
 def min_safe_generation(spark, d):
     at = F.col("s_suppkey") * 131
     ranges = table(spark, d, "supplier").select(F.col("s_suppkey").alias("pid"), at.alias("lo"), (at + 40).alias("hi"))
-    return lsm.min_safe_generation(ranges, "pid", _segments(spark, d), SPAN)
+    return lsm.min_safe_generation(ranges, "pid", _segments(spark, d))
 
 
 @query("WITH c AS (SELECT s_suppkey AS id, s_suppkey % 4 + 1 AS n_src, s_suppkey % 7 + 1 AS n_tgt, s_suppkey % 6 + 1 AS hi_gen, s_suppkey % 2 AS lo_gen FROM supplier) SELECT id, CAST(n_tgt AS DOUBLE) / n_src - CAST(0.02 AS DOUBLE) * hi_gen - CAST(0.003 AS DOUBLE) * (n_src + n_tgt) - CAST(0.03 AS DOUBLE) * (hi_gen - lo_gen) AS score FROM c")
@@ -219,11 +232,19 @@ def merge_candidate_score(spark, d):
     return table(spark, d, "supplier").select(n.alias("id"), lsm.candidate_score(n % 4 + 1, n % 7 + 1, n % 6 + 1, n % 2).alias("score"))
 
 
+@query("WITH c AS (SELECT s_suppkey AS id, CAST((s_suppkey % 90) / CAST(40 AS DOUBLE) AS DOUBLE) AS score, s_suppkey % 6 AS max_gen FROM supplier) SELECT id FROM c WHERE score <= CAST(1.6 AS DOUBLE) + max_gen / CAST(12 AS DOUBLE)")
+def merge_worth(spark, d):
+    n = F.col("s_suppkey")
+    return table(spark, d, "supplier").filter(lsm.worth_merging(n % 90 / F.lit(40.0), n % 6)).select(n.alias("id"))
+
+
 @query()
 def merge_candidates(spark, d):
-    """The planner works on the list of segments: metadata, of one row for each SPAN keys."""
-    rows = [lsm.Segment(r.gen, f"{r.lo:019d}", f"{r.hi:019d}") for r in _segments(spark, d).collect()]
-    made = [(i, c.score, c.n_src, c.n_tgt, c.sources[0].lo, c.targets[-1].hi) for i, c in enumerate(lsm.merge_candidates(rows, smallest=2))]
+    """The planner works on the list of segments: metadata, of one row for each PLANNED keys at least, more in higher generations."""
+    log = table(spark, d, "events").select("event_id", (F.col("event_id") % 3).alias("gen"))
+    held = log.groupBy("gen", F.floor(F.col("event_id") / (PLANNED * (1 + F.col("gen"))))).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    rows = [lsm.Segment(r.gen, f"{r.lo:019d}", f"{r.hi:019d}") for r in held.collect()]
+    made = [(i, c.score, c.n_src, c.n_tgt, c.sources[0].lo, c.targets[-1].hi) for i, c in enumerate(lsm.merge_candidates(rows))]
     return spark.createDataFrame(made, "rank_pos int, score double, n_src int, n_tgt int, first_key string, last_key string")
 
 
@@ -307,6 +328,35 @@ def doc_find_via_index(spark, d):
     return documents.find_via_index(docs, index, ["c_mktsegment"], "c_custkey", _WANTED).select("c_custkey", "c_name", "c_acctbal")
 
 
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 5")
+def doc_find_best(spark, d):
+    """By way of whichever stored index serves the query best: that of segment and nation."""
+    docs, made = table(spark, d, "customer"), {}
+    for fields in (("c_mktsegment",), ("c_mktsegment", "c_nationkey"), ("c_name",)):
+        path = fresh_path(spark, "index")
+        documents.ensure_index(docs, list(fields), "c_custkey", path)
+        made[fields] = spark.read.parquet(path)
+    return documents.find_best(docs, _WANTED, "c_custkey", made).select("c_custkey", "c_name", "c_acctbal")
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey * 3 FROM supplier) UNION ALL SELECT s_suppkey * 3, s_name FROM supplier")
+def doc_insert(spark, d):
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    new = table(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("id"), F.col("s_name").alias("name"))
+    return documents.insert(docs, new, "id")
+
+
+@query("SELECT c_custkey AS k, CASE WHEN s_suppkey IS NULL THEN c_name ELSE s_name END AS v FROM customer LEFT JOIN supplier ON s_suppkey * 2 = c_custkey WHERE c_custkey % 5 <> 0")
+def kv_multi_write(spark, d):
+    """Batches of rows to set and keys to delete, written as generations of an update log, then read."""
+    path = fresh_path(spark, "multi")
+    first = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    second = table(spark, d, "supplier").select((F.col("s_suppkey") * 2).alias("k"), F.col("s_name").alias("v")).filter("k % 5 <> 0").join(first.select("k"), "k", "left_semi")
+    for gen, batch in enumerate((updatelog.batch(first, None, ["k"]), updatelog.batch(second, first.select("k").filter("k % 5 = 0"), ["k"]))):
+        updatelog.append(batch, path, gen, ["k"], ["update_type"])
+    return updatelog.read_merged(spark, path, ["k"]).select("k", "v")
+
+
 @query("SELECT 'c_mktsegment' AS index_name, c_mktsegment AS part1, c_custkey AS pk FROM customer")
 def doc_index_entries(spark, d):
     return documents.index_entries(table(spark, d, "customer"), ["c_mktsegment"], "c_custkey")
@@ -369,19 +419,47 @@ def text_word_count(spark, d):
     return textindex.word_counts(table(spark, d, "documents"))
 
 
+def _index(spark, d):
+    return textindex.stored_index(table(spark, d, "documents"))
+
+
 @query(f"WITH {_TOKENS} SELECT DISTINCT doc_id FROM tok WHERE word = 'the'")
 def text_search_word(spark, d):
-    return textindex.search(table(spark, d, "documents"), ["the"])
+    return textindex.search_postings(_index(spark, d), ["the"])
 
 
 @query(f"WITH {_TOKENS} SELECT doc_id FROM tok WHERE word IN ('the', 'of') GROUP BY doc_id HAVING count(DISTINCT word) = 2")
 def text_search_and2(spark, d):
-    return textindex.search(table(spark, d, "documents"), ["the", "of"])
+    return textindex.search_postings(_index(spark, d), ["the", "of"])
 
 
 @query(f"WITH {_TOKENS} SELECT doc_id FROM tok WHERE word IN ('the', 'of', 'and') GROUP BY doc_id HAVING count(DISTINCT word) = 3")
 def text_search_and3(spark, d):
-    return textindex.search(table(spark, d, "documents"), ["the", "of", "and"])
+    return textindex.search_postings(_index(spark, d), ["the", "of", "and"])
+
+
+_PLACED = r"""pl AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[-*()"''\[\]:\s?.,]+'), lambda x: lower(regexp_replace(x, '([-"'':+_=/|]{3,})', '', 'g'))), lambda x: x <> '') AS ws FROM documents) t)"""
+
+
+@query(f"WITH {_PLACED} SELECT DISTINCT a.doc_id FROM pl a JOIN pl b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.word = 'of' AND b.word = 'the'")
+def text_search_phrase(spark, d):
+    return textindex.search_near(_index(spark, d), ["of", "the"])
+
+
+@query(f"WITH {_PLACED} SELECT DISTINCT a.doc_id FROM pl a JOIN pl b ON a.doc_id = b.doc_id AND abs(b.pos - a.pos) < 5 WHERE a.word = 'thing' AND b.word = 'the'")
+def text_search_near(spark, d):
+    return textindex.search_near(_index(spark, d), ["thing", "the"], within=5)
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id FROM tok GROUP BY doc_id HAVING count(CASE WHEN word IN ('des', 'der') THEN 1 END) > 0 AND count(CASE WHEN word = 'die' THEN 1 END) = 0")
+def text_search_any_not(spark, d):
+    return textindex.search_any(_index(spark, d), ["des", "der"], without=["die"])
+
+
+@query(f"WITH {_TOKENS}, f AS (SELECT word, doc_id, count(*) AS freq FROM tok WHERE word IN ('the', 'des', 'der') GROUP BY word, doc_id), n AS (SELECT word, count(*) AS df FROM f GROUP BY word) SELECT doc_id, round(sum(freq * ln((SELECT count(*) FROM documents)::DOUBLE / df)), 6) AS score FROM f JOIN n USING (word) GROUP BY doc_id")
+def text_tf_idf(spark, d):
+    docs = table(spark, d, "documents")
+    return textindex.tf_idf(_index(spark, d), ["the", "des", "der"], docs.count()).withColumn("score", F.round("score", 6))
 
 
 # ---- replication logs
@@ -435,6 +513,22 @@ def log_truncate(spark, d):
     return replog.truncated(_log(spark, d).select("server", "event_id"), "server", "event_id")
 
 
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_id <= 900) t WHERE rn = 1 AND event_type <> 'error'")
+def log_rebuild(spark, d):
+    """The data of a replica made anew from another server's updates up to a stamp."""
+    source = updates(spark, d, "event_type").select("user_id", "event_id", "update_type", "event_type")
+    data, _ = replog.rebuilt(source, _log(spark, d), ["user_id"], "event_id", 900)
+    return data.select("user_id", "event_id", "event_type")
+
+
+@query("WITH h AS (SELECT event_type AS g, max(event_id) AS head FROM events GROUP BY event_type) SELECT 'click' AS server, s_suppkey AS user_id, (SELECT head FROM h WHERE g = 'click') + row_number() OVER (ORDER BY s_suppkey) AS event_id FROM supplier")
+def log_append(spark, d):
+    log = _log(spark, d).select("server", "event_id", "user_id")
+    new = table(spark, d, "supplier").select(F.lit("click").alias("server"), F.col("s_suppkey").alias("event_id"), F.col("s_suppkey").alias("user_id"))
+    head = log.filter("server = 'click'").agg(F.max("event_id")).first()[0]
+    return replog.append_entries(log, new, "server", "event_id").filter((F.col("server") == "click") & (F.col("event_id") > head)).select("server", "user_id", "event_id")
+
+
 # ---- key templates and codecs
 
 
@@ -452,6 +546,24 @@ def pipe_mux_key(spark, d):
     return table(spark, d, "customer").select("c_custkey", pipe.key().alias("row_key"))
 
 
+@query("SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+def pipe_row_range(spark, d):
+    """A row qualifier of an exact region and any nation, as one range of the key."""
+    region = table(spark, d, "region")
+    rows = table(spark, d, "nation").join(sized(region, region.count(), 64), F.col("n_regionkey") == F.col("r_regionkey"))
+    key = pipes.Partition("r_name", pipes.Partition("n_name")).key()
+    return rows.filter(pipes.in_row_range(key, ["ASIA", None])).select("n_nationkey")
+
+
+@query("SELECT c_custkey, c_mktsegment AS segment, c_nationkey::BIGINT AS nation, c_custkey AS id FROM customer")
+def key_decode(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    key = keys.encode(keys.string_part(F.col("c_mktsegment")), keys.long_part(F.col("c_nationkey")), keys.long_part(F.col("c_custkey")))
+    held = rows.select("c_custkey", key.alias("key"))
+    segment, nation, ident = keys.decode_parts(F.col("key"), keys.STRING, keys.LONG, keys.LONG)
+    return held.select("c_custkey", segment.alias("segment"), nation.alias("nation"), ident.alias("id"))
+
+
 @query("SELECT p_partkey FROM part WHERE '=' || p_brand = '=Brand#12'")
 def qualifier_exact(spark, d):
     return table(spark, d, "part").filter(pipes.exact(F.col("p_brand"), "Brand#12")).select("p_partkey")

@@ -6,8 +6,9 @@ A generation is written at once and replaced as a whole, so a repeated write of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sortmill.operators.lsm import compact, merge_read, newest_wins, write_segments
+from sortmill.operators.lsm import FULL, TOMBSTONE, TYPE, compact, merge_read, newest_wins, write_segments
 
 
 def append(updates: DataFrame, path: str, gen: int, keys: list[str], order: list[str]) -> None:
@@ -17,6 +18,23 @@ def append(updates: DataFrame, path: str, gen: int, keys: list[str], order: list
     newest.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/gen={gen}")
 
 
+def batch(sets: DataFrame | None, deletes: DataFrame | None, keys: list[str]) -> DataFrame:
+    """A batch of writes as updates: rows to set, and keys to delete. A key may stand on one side only."""
+    sides = []
+    if sets is not None:
+        sides.append(sets.withColumn(TYPE, F.lit(FULL)))
+    if deletes is not None:
+        sides.append(deletes.select(*keys).distinct().withColumn(TYPE, F.lit(TOMBSTONE)))
+    return sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1], allowMissingColumns=True)
+
+
+def record_update(updates: DataFrame, key: dict) -> DataFrame:
+    """All that the log holds of one key, tombstones included, before any merge."""
+    for name, value in key.items():
+        updates = updates.filter(F.col(name) == value)
+    return updates
+
+
 def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """All updates with their generation; a filter on `gen` prunes folders."""
     reader = spark.read.option("basePath", path)

@@ -144,3 +144,69 @@ def test_streams(spark, tmp_path):
     assert run() == {"a": "a3", "b": "b2"}
     spark.createDataFrame([("b", 4, "DELETION_TOMBSTONE", None), ("c", 5, "FULL", "c5")], schema).coalesce(1).write.mode("append").parquet(f"{folder}/t.parquet")
     assert run() == {"a": "a3", "c": "c5"}
+
+
+def test_find_takes_the_best_index_and_inserts_replace(spark, users, tmp_path):
+    made = {}
+    for fields in (("name",), ("age", "name")):
+        documents.ensure_index(users, list(fields), "_id", str(tmp_path / "+".join(fields)))
+        made[fields] = spark.read.parquet(str(tmp_path / "+".join(fields)))
+    for query in ({"name": "Tom"}, {"name": "Tom", "age": 32}, {"age": 60}, {"_id": "user1"}, {"_id": "user1", "name": "David"}, {}):
+        found = documents.find_best(users, query, "_id", made)
+        assert {r._id for r in found.collect()} == {r._id for r in documents.find(users, query).collect()}
+        read = " ".join(found.inputFiles())
+        assert ("age+name" in read) == ("age" in query) and ("/name/" in read) == ("name" in query and "age" not in query and "_id" not in query)
+    new = spark.createDataFrame([("user1", "Dave", "x"), ("user8", "New", "y")], "_id string, name string, more string")
+    assert {r._id: (r.name, r.age, r.more) for r in documents.insert(users, new, "_id").collect()} == {"user1": ("Dave", None, "x"), "user2": ("Tom", 32, None), "user3": ("Tom", 32, None), "user4": (None, None, None), "user8": ("New", None, "y")}
+
+
+def test_columns_that_clash_with_helpers_stay(users):
+    df = users.withColumns({c: F.lit(7) for c in ("hit", "chosen", "gone", "nth", "own_pk", "__hit", "__nth")})
+    got = documents.update(df, {"name": "Tom"}, {"$inc": {"age": 1}}, "_id", limit=1)
+    assert got.columns == df.columns and {r["__hit"] for r in got.collect()} == {7}
+    assert documents.delete(df, {"name": "Tom"}, "_id", 1).columns == df.columns
+    assert documents.delete_per_group(df, {"name": "Tom"}, "_id", 1, ["name"]).columns == df.columns
+
+
+def test_stored_index_is_pruned_and_searched(spark, tmp_path):
+    texts = [(1, "the cat sat on the mat"), (2, "on the mat the cat"), (3, "the dog"), (4, None), (5, "mat cat"), (6, "cat - the, cat")]
+    spark.createDataFrame(texts, "doc_id int, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    index = textindex.stored_index(docs)
+    assert textindex.stored_index(docs).inputFiles() == index.inputFiles()  # written once
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    for terms in (["the"], ["the", "cat"], ["cat", "mat", "cat"], ["absent"], []):
+        assert ids(textindex.search_postings(index, terms)) == ids(textindex.search(docs, terms))
+    assert ids(textindex.search_postings(index, ["cat"], after=1)) == [2, 5, 6]
+    assert ids(textindex.search_near(index, ["the", "cat"])) == [1, 2, 6] and ids(textindex.search_near(index, ["the", "mat"])) == [1, 2]
+    assert ids(textindex.search_near(index, ["on", "the", "mat"])) == [1, 2] and ids(textindex.search_near(index, ["mat", "on"])) == []
+    assert ids(textindex.search_near(index, ["mat", "cat"], within=2)) == [5] and ids(textindex.search_near(index, ["mat", "cat"], within=3)) == [2, 5]
+    assert ids(textindex.search_any(index, ["dog", "mat"])) == [1, 2, 3, 5] and ids(textindex.search_any(index, ["cat"], without=["on"])) == [5, 6]
+    score = {r.doc_id: r.score for r in textindex.tf_idf(index, ["dog", "cat"], 6).collect()}
+    assert score[3] > score[6] > score[1] == score[2]
+    plan = textindex.search_postings(index, ["the"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(word, [the])]" in plan or "EqualTo(word,the)" in plan
+
+
+def test_logs_append_rebuild_and_instances(spark):
+    log = spark.createDataFrame([("a", 1, "k"), ("a", 2, "l"), ("b", 7, "m")], "server string, logstamp bigint, key string")
+    new = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("c", 5, "z")], "server string, logstamp bigint, key string")
+    got = replog.append_entries(log, new, "server", "logstamp")
+    assert {(r.server, r.logstamp, r.key) for r in got.collect()} == {("a", 1, "k"), ("a", 2, "l"), ("b", 7, "m"), ("a", 3, "x"), ("a", 4, "y"), ("c", 1, "z")}
+    ours, theirs = replog.status(log, "server", "logstamp"), replog.status(got, "server", "logstamp")
+    with pytest.raises(ValueError, match="instance"):
+        replog.resume(ours, theirs, ("one", "two"))
+    assert {r.g: r.action for r in replog.resume(ours, theirs, ("one", "one")).collect()} == {"a": "replay", "b": "replay", "c": "rebuild"}
+    source = spark.createDataFrame([("k", 1, "FULL"), ("k", 3, "DELETION_TOMBSTONE"), ("l", 2, "FULL")], "key string, logstamp bigint, update_type string")
+    for until, want in ((2, {"k", "l"}), (3, {"l"})):
+        data, heads = replog.rebuilt(source, log, ["key"], "logstamp", until)
+        assert {r.key for r in data.collect()} == want and heads.count() == 2
+
+
+def test_row_qualifiers(spark):
+    df = spark.createDataFrame([("ASIA", "x"), ("ASIA", "y"), ("ASIAN", "x"), ("EUROPE", "x")], "r string, n string").withColumn("key", pipes.Partition("r", pipes.Partition("n")).key())
+    at = lambda *parts: sorted((r.r, r.n) for r in df.filter(pipes.in_row_range(F.col("key"), list(parts))).collect())
+    assert at("ASIA", None) == [("ASIA", "x"), ("ASIA", "y")] and at("ASIA", "y") == [("ASIA", "y")] and len(at(None, None)) == 4
+    assert pipes.looked_up(df, "n", spark.createDataFrame([("y",), ("y",)], "v string"), "v").count() == 1
+    assert df.filter(pipes.ranging(F.col("r"), "ASIA", "ASIAN")).count() == 3 and df.filter(pipes.ranging(F.col("r"), None, "ASIA")).count() == 2
+    assert {tuple(r.c) for r in df.select(pipes.context_of(F.col("key"), ["a", "b", "c"]).alias("c")).collect()} == {("ASIA", "x", None), ("ASIA", "y", None), ("ASIAN", "x", None), ("EUROPE", "x", None)}

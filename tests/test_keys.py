@@ -99,3 +99,18 @@ def test_codecs(spark):
     for bad in (codec.lsd(F.lit(123456), 5), codec.from_lsd(F.lit("4x"))):
         with pytest.raises(Exception, match="decimal"):
             spark.range(1).select(bad).collect()
+
+
+def test_decoding_in_columns(spark):
+    rng = random.Random(4)
+    texts = ["", "a", "a\x00b", "\x00", "\x00\x00\x01", "é漢", "end\x00"]
+    numbers = [0, 1, -1, 2**63 - 1, -(2**63), 1 << 32, -(1 << 31), 12131]
+    rows = [(i, rng.choice(texts), rng.choice(numbers), rng.choice(numbers), bytes(rng.choice(b"\x00\x01\xff") for _ in range(rng.randrange(5)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, s string, l bigint, v bigint, b binary")
+    key = keys.encode(keys.long_part(F.col("l")), keys.string_part(F.col("s")), keys.bytes_part(F.col("b")), keys.version_part(F.col("v")))
+    got = df.select("i", key.alias("key"))
+    parts = keys.decode_parts(F.col("key"), keys.LONG, keys.STRING, keys.RAW_BYTES, keys.TS_ATTRIBUTE)
+    back = {r[0]: (r[2], r[1], r[4], bytes(r[3])) for r in got.select("i", *parts).collect()}
+    assert back == {i: (s, l, v, b) for i, s, l, v, b in rows}
+    wrong = keys.decode_parts(F.col("key"), keys.STRING)
+    assert got.select(wrong[0]).first()[0] is None  # a part of another type is null

@@ -69,7 +69,9 @@ def test_update_log_on_disk(spark, tmp_path):
 def test_merge_and_intersect_examples(spark):
     one = spark.createDataFrame([(k, f"a{k}") for k in (1, 3, 5, 7)], "k int, v string")
     two = spark.createDataFrame([(k, f"b{k}") for k in (2, 4, 7, 9, 10)], "k int, v string")
-    assert sorted(r.k for r in lsm.merge_sorted(one, two, ["k"]).collect()) == [1, 2, 3, 4, 5, 7, 7, 9, 10]
+    merged = lsm.merge_sorted(one, two, ["k"]).orderBy("pos").collect()
+    assert [(r.pos, r.k, r.src) for r in merged] == list(zip(range(1, 10), (1, 2, 3, 4, 5, 7, 7, 9, 10), ("one", "two", "one", "two", "one", "one", "two", "two", "two")))
+    assert [r.k for r in lsm.merge_sorted(one, two, ["k"], True, forward=False).orderBy("pos").collect()] == [10, 9, 7, 5, 4, 3, 2, 1]
     left = {r.k: (r.v, r.src) for r in lsm.merge_sorted(one, two, ["k"], left_wins=True).collect()}
     assert sorted(left) == [1, 2, 3, 4, 5, 7, 9, 10] and left[7] == ("a7", "one")
     a = spark.createDataFrame([(k, str(k)) for k in (0, 2, 5, 7, 10)], "k int, v string")
@@ -88,11 +90,45 @@ def test_overlaps_against_all_pairs(spark):
     rows = [(rng.randrange(3), i, lo := rng.randrange(-200, 1000), lo + rng.randrange(0, 120)) for i in range(80)]
     df = spark.createDataFrame(rows, "gen int, slot int, lo int, hi int")
     want = {(a[0], a[1], b[0], b[1]) for a in rows for b in rows if a[0] > b[0] and a[2] <= b[3] and a[3] >= b[2]}
-    for width in (7, 100, 5000):
-        got = [tuple(r) for r in lsm.segment_overlap(df, width).collect()]
+    for cells in (1, 7, 500):
+        got = [(r.gen, r.slot, r.t_gen, r.t_slot) for r in lsm.overlap_join(df, df, "lo", "hi", cells).filter("gen > t_gen").collect()]
         assert len(got) == len(set(got)) and set(got) == want
+    assert set(map(tuple, lsm.segment_overlap(df).collect())) == want
     ranges = spark.createDataFrame([(0, 5000, 6000), (1, -100, 900)], "pid int, lo int, hi int")
-    assert {r.pid: r.safe_gen for r in lsm.min_safe_generation(ranges, "pid", df, 100).collect()} == {0: 0, 1: 3}
+    assert {r.pid: r.safe_gen for r in lsm.min_safe_generation(ranges, "pid", df).collect()} == {0: 0, 1: 3}
+
+
+def test_overlaps_of_string_keys(spark):
+    rows = [(0, "test/rnd/306608504", "test/rnd/653566822"), (1, "test/rnd/328202073", "test/rnd/669936319"), (2, "test/rnd/328202073", "test/rnd/996219212"), (3, "test/rnd/728202073", "test/rnd/996219212"), (4, "a", "zzz"), (5, None, "z"), (6, "b", None)]
+    df = spark.createDataFrame(rows, "i int, lo string, hi string")
+    want = {(a[0], b[0]) for a in rows[:5] for b in rows[:5] if a[1] <= b[2] and a[2] >= b[1]}
+    for cells in (1, 3, 128):
+        got = [(r.i, r.t_i) for r in lsm.overlap_join(df, df, "lo", "hi", cells).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert (0, 3) not in want and (0, 1) in want and (2, 3) in want
+    assert lsm.overlap_join(df.limit(0), df.limit(0), "lo", "hi").count() == 0
+
+
+def test_a_range_over_everything_is_listed_under_few_cells(spark):
+    df = spark.createDataFrame([(i, i * 10, i * 10 + 5) for i in range(500)] + [(999, 0, 10**15)], "i int, lo bigint, hi bigint")
+    got = lsm.overlap_join(df.filter("i = 999"), df, "lo", "hi", 16)
+    assert got.count() == 501
+
+
+def test_segment_lists_and_maintenance(spark):
+    a = spark.createDataFrame([(0, "A", "B"), (1, "C", "D"), (1, "C", "D")], "gen int, lo string, hi string")
+    b = spark.createDataFrame([(0, "A", "B"), (1, "C", "D"), (2, "E", None)], "gen int, lo string, hi string")
+    keys = ["gen", "lo", "hi"]
+    assert {(r.gen, r.state) for r in lsm.compare_segments(a, b, keys).collect()} == {(1, "times"), (2, "unlisted")}
+    assert {(r.gen, r.state) for r in lsm.compare_segments(b, a, keys).collect()} == {(1, "times"), (2, "missing")}
+    lsm.verify_segments(a, a, keys)
+    with pytest.raises(ValueError):
+        lsm.verify_segments(a, b, keys)
+    assert lsm.relevant_segments(a, 1, "A", "Z", 1) is None and lsm.relevant_segments(a, 0, "A", "Z", 1).count() == 1
+    due = spark.createDataFrame([(0.5, 0), (0.29, 0), (0.9, 16 * 512 * 1024)], "free double, held bigint")
+    assert [r[0] for r in due.select(lsm.wants_flush(F.col("free"), F.col("held"))).collect()] == [False, True, True]
+    scores = spark.createDataFrame([(1.6, 0), (1.61, 0), (2.1, 6), (2.11, 6)], "score double, max_gen int")
+    assert [r[0] for r in scores.select(lsm.worth_merging(F.col("score"), F.col("max_gen"))).collect()] == [True, False, True, False]
 
 
 def test_planner_examples():

@@ -73,3 +73,39 @@ def test_fixed_ids_of_ten_digits(spark):
     for forward in (True, False):
         got = [r.id for r in scan.scan(df, "id", "0000000000", "0000000990", forward).orderBy("pos").collect()]
         assert got == sorted((f"{i:010d}" for i in range(0, 1000, 30)), reverse=not forward) and len(got) == 34
+
+
+def test_rows_are_shuffled_once(spark):
+    """The written ranges are read without another exchange of rows: what is left is one partial count or key for each range."""
+    df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    keys = spark.range(50).select((F.col("id") * 7).alias("x"))
+    laid = order.laid_out(df, [F.col("k")], [F.col("k")], "part", "nth")._jdf.queryExecution().executedPlan().toString()
+    assert laid.count("Exchange rangepartitioning") == 1 and laid.count("Exchange ") == 1
+    for got in (order.ranked(df, F.col("k")), order.with_previous(df, [F.col("k")], "k", "b"), order.nearest(df, "k", keys, "x", True, True)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Exchange rangepartitioning" not in plan and "partial_" in plan
+        assert "SortMergeJoin" not in plan
+
+
+def test_columns_of_any_name_are_carried(spark):
+    names = ("range", "nth", "n", "before", "prev", "last", "carried", "at", "own_key", "seen", "end", "__range", "__local", "__before", "Range")
+    spark.conf.set("spark.sql.caseSensitive", "false")
+    df = spark.createDataFrame([(i, i) for i in range(30)], "k int, v int").withColumns({c: F.lit(c) for c in names[:-1]})
+    keys = spark.createDataFrame([(5,), (20,)], "x int")
+    for got in (order.ranked(df, F.col("k")), order.with_previous(df, [F.col("k")], "k", "b"), order.nearest(df, "k", keys, "x", True, True)):
+        rows = got.collect()
+        assert got.columns[:-1] == df.columns and len(rows) == 30 and all(r[c] == c for r in rows for c in names[:-1])
+    assert [r.pos for r in order.ranked(df.withColumn("pos", F.lit("mine")), F.col("k")).orderBy("k").collect()] == list(range(1, 31))
+
+
+def test_previous_and_nearest_of_strings_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame([(f"k{i:04d}",) for i in range(200)], "k string").repartition(3)
+        got = {r.k: r.b for r in order.with_previous(df, [F.col("k")], "k", "b").collect()}
+        assert got == {f"k{i:04d}": f"k{i - 1:04d}" if i else None for i in range(200)}
+        keys = spark.createDataFrame([("k0050",), ("k0150",)], "x string")
+        found = {r.k: r.found_key for r in order.nearest(df, "k", keys, "x", False, True).collect()}
+        assert found == {f"k{i:04d}": None if i < 50 else "k0050" if i < 150 else "k0150" for i in range(200)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
