@@ -21,35 +21,79 @@ whatever their names.
 
 from __future__ import annotations
 
+import unicodedata
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from sortmill.llm._work import fresh, small, written
+from sortmill.llm._text import blocks, release
+from sortmill.llm._work import fresh, slim_batches, small, written
 
 GAMMA, MIN_GROUP, FENCE, PRIOR, FLOOR = 1.002, 50, 6.0, 20.0, 0.005
 #: For each feature, whether low and high values fail.
 SIDES = {"richness": (True, False), "symbols": (False, True), "capitals": (False, True), "width": (True, True), "bare": (False, True)}
 #: Values up to this share one lowest bucket.
 TINY, LOWEST = 1e-6, -1_000_000
-
-
-def _without(text: Column, pattern: str) -> Column:
-    return F.length(F.regexp_replace(text, pattern, ""))
-
-
-def features(text: Column) -> Column:
-    """The counts that the features of SIDES are ratios of, for a text with words."""
-    words = F.array_remove(F.split(text, r"[\x00-\x20]+"), "")
-    return F.struct(
-        F.size(words).alias("n"),
-        F.size(F.array_distinct(words)).alias("v"),
-        _without(text, r"[\x00-\x20]+").alias("visible"),
-        _without(text, r"[^\p{L}]+").alias("letters"),
-        _without(text, r"[^\p{L}\p{N}]+").alias("solid"),
-        _without(text, r"[^\p{Lu}]+").alias("upper"),
-        F.regexp_count(text, F.lit(r"[\p{L}\p{N}][^\x00-\x20]*")).alias("spoken"),
-    )
+BLOCK = 1 << 20
+
+
+#: What a character is: visible, and if so a letter, digit or capital. Made once in a process.
+_VISIBLE, _LETTER, _NUMBER, _UPPER = 1, 2, 4, 8
+_classes: list[np.ndarray] = []
+_GAPS = bytes.maketrans(bytes(range(33)), b" " * 33)
+
+
+def classes() -> np.ndarray:
+    """The classes of each code point."""
+    if not _classes:
+        out = np.full(0x110000, _VISIBLE, np.uint8)
+        out[:33] = 0
+        for c, name in enumerate(map(unicodedata.category, map(chr, range(0x110000)))):
+            if name[0] == "L":
+                out[c] |= _LETTER | (_UPPER if name == "Lu" else 0)
+            elif name[0] == "N":
+                out[c] |= _NUMBER
+        _classes.append(out)
+    return _classes[0]
+
+
+COUNTS = ("n", "v", "visible", "letters", "solid", "upper", "spoken")
+
+
+def counts(texts: list[str]) -> np.ndarray:
+    """A row of COUNTS for each text: words, distinct words, visible characters, letters, letters and digits, capitals, and words with a letter or digit."""
+    out = np.zeros((len(texts), len(COUNTS)), np.int64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    for i, j in blocks(np.concatenate([[0], np.cumsum(sizes)]), BLOCK):
+        words = [t.encode().translate(_GAPS).split() for t in texts[i:j]]
+        out[i:j, 0] = [len(w) for w in words]
+        out[i:j, 1] = [len(set(w)) for w in words]
+        kind = classes()[np.frombuffer((" ".join(texts[i:j]) + " ").encode("utf-32-le"), np.uint32)]
+        first = np.cumsum(sizes[i:j]) - sizes[i:j]
+        solid = kind & (_LETTER | _NUMBER) > 0
+        # A word's first letter or digit: no other is between it and the word's start.
+        inside = kind > 0
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        at = np.flatnonzero(solid)
+        word = np.cumsum(begins, dtype=np.int32)[at]
+        spoken = at[np.flatnonzero(np.diff(word, prepend=0))]
+        for k, mask in enumerate((inside, kind & _LETTER > 0, solid, kind & _UPPER > 0), 2):
+            out[i:j, k] = np.add.reduceat(mask, first, dtype=np.int64)
+        out[i:j, 6] = np.bincount(np.searchsorted(first, spoken, "right") - 1, minlength=j - i)
+    return out
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def features(text: pa.Array) -> pa.Array:
+    """The counts that the features of SIDES are ratios of, for texts with words."""
+    got = counts(text.to_pylist())
+    release()
+    return pa.StructArray.from_arrays([pa.array(got[:, k].copy()) for k in range(len(COUNTS))], list(COUNTS))
 
 
 def _ratios(c: str) -> Column:
@@ -107,12 +151,12 @@ def limits(sketches: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that no rule rejects, with the columns that they came with."""
+    slim_batches(docs.sparkSession)
     fences = written(limits(written(sketch(docs), "quality-sketches")), "quality-limits")
     c, r, f, gl, gs = fresh(docs, "counts", "ratios", "fences", "group_lang", "group_source")
     fences = fences.select(F.col("lang").alias(gl), F.col("source").alias(gs), F.struct(*SIDES).alias(f))
     fences = small(fences, fences.count(), 256)
-    # Through a generator, past which no rule merges projections: each text is counted once, not once for each comparison.
-    rows = docs.filter(_has_words()).select("*", F.explode(F.array(features(F.col("text").cast("string")))).alias(c)).withColumn(r, _ratios(c))
+    rows = docs.filter(_has_words()).withColumn(c, features(F.col("text").cast("string"))).withColumn(r, _ratios(c))
     rows = rows.join(fences, F.col("lang").cast("string").eqNullSafe(F.col(gl)) & F.col("source").cast("string").eqNullSafe(F.col(gs)))
     ok = F.lit(True)
     for name, (low, high) in SIDES.items():
