@@ -292,3 +292,39 @@ def test_fingerprints_against_brute_force(spark):
             lcs = next((i for i, (p, q) in enumerate(zip(a[::-1], b[::-1])) if p != q), min(len(a), len(b)))
             assert (r.anchor_bytes, r.lcp, r.lcs) == (len(a), lcp, lcs)
     assert fingerprint.fingerprint_documents(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("bits", [62, 3])
+def test_fingerprints_of_repeated_ids_and_of_texts_that_share_one(spark, bits):
+    """With 3 bits most texts share a fingerprint with another of their length: only their bytes tell them apart."""
+    rng = random.Random(18)
+    head = "h" * fingerprint.ANCHOR
+    texts = [head + "".join(rng.choice("ab") for _ in range(rng.randrange(0, 4))) for _ in range(30)] + ["".join(rng.choice("ab") for _ in range(3)) for _ in range(30)]
+    ids = [rng.choice([None, *range(25)]) for _ in texts]
+    got = [tuple(r) for r in fingerprint.fingerprint_documents(frame(spark, texts, ids).repartition(3), bits).collect()]
+    mask = (1 << bits) - 1
+    fp = {t: fingerprint.PrefixHash(t.encode()).fingerprint() & mask for t in texts}
+    numbers = {}
+    for f, n in {(fp[t], len(t)) for t in texts}:
+        same = sorted({t for t in texts if (fp[t], len(t)) == (f, n)})
+        numbers |= {t: 0 if len(same) == 1 else i for i, t in enumerate(same, 1)}
+    want = []
+    for d, t in zip(ids, texts):
+        canonical = min((x for x, u in zip(ids, texts) if u == t and x is not None), default=None)
+        anchor = min(((x, fp[u], len(u), numbers[u], u) for x, u in zip(ids, texts) if x is not None and u[: fingerprint.ANCHOR] == t[: fingerprint.ANCHOR]), default=None)
+        lcp = lcs = None
+        if anchor:
+            a = anchor[4]
+            lcp = next((i for i, (p, q) in enumerate(zip(a, t)) if p != q), min(len(a), len(t)))
+            lcs = next((i for i, (p, q) in enumerate(zip(a[::-1], t[::-1])) if p != q), min(len(a), len(t)))
+        want.append((d, len(t), fp[t], canonical, anchor and anchor[0], anchor and anchor[2], lcp, lcs))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_a_hot_anchor_is_sent_to_several_places(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "PART", 7)
+    head = "h" * fingerprint.ANCHOR
+    texts = [head + f"{i:05d}" for i in range(100)]
+    got = fingerprint.fingerprint_documents(frame(spark, texts)).collect()
+    assert len(got) == 100 and all(r.anchor_id == 0 for r in got)
+    assert all(r.lcp == next((k for k in range(len(texts[0])) if texts[0][k] != texts[r.doc_id][k]), 69) for r in got)
