@@ -7,8 +7,8 @@ its part of every source, so that each cell is packed alone, in one task. In a c
 every dimension, where the dot product of its size with the shard's residual capacity is highest, all in shares of capacity.
 A shard's capacity is its part of the cell plus ROOM. A group that fits nowhere goes where it overfills least.
 
-Tokens are counted as runs of letters, runs of digits, and other visible characters, a stand-in that needs no vocabulary;
-`tokens` names a column to take instead.
+`tokens` names a column with the number of tokens. Without it tokens are counted as runs of letters, runs of digits, and other
+visible characters, a stand-in that needs no vocabulary and costs a tenth of encoding; the README says how true tokens balance.
 
 Defined cases: null and empty texts have no bytes and tokens but are rows. Null source is a source. Rows that repeat a doc_id
 go to one shard; rows of null doc_id are bucketed by their text. A document larger than a shard has a shard that it overfills.
@@ -42,9 +42,9 @@ def place(sizes: np.ndarray, shards: int, room: float = ROOM) -> np.ndarray:
     for g, need in enumerate(share):
         fits = (left >= need - 1e-12).all(axis=1)
         if fits.any():
-            score = np.where(fits, left @ need, -np.inf)
+            score = np.where(fits, np.round(left @ need, 12), -np.inf)  # rounded, so that ties are ties
         else:
-            score = -(need - left).max(axis=1)
+            score = -np.round((need - left).max(axis=1), 12)
         at = int(np.argmax(score))
         out[g] = at
         left[at] -= need
@@ -53,7 +53,7 @@ def place(sizes: np.ndarray, shards: int, room: float = ROOM) -> np.ndarray:
 
 def _pack(cell: pd.DataFrame) -> pd.DataFrame:
     cell = cell.copy()
-    largest = (cell[list(DIMENSIONS)] / cell[list(DIMENSIONS)].sum().clip(lower=1)).max(axis=1)
+    largest = (cell[list(DIMENSIONS)] / cell[list(DIMENSIONS)].sum().clip(lower=1)).max(axis=1).round(12)
     cell = cell.assign(largest=largest).sort_values(["largest", "grp"], ascending=[False, True], kind="stable")
     shards = int(cell["last_shard"].iloc[0] - cell["first_shard"].iloc[0])
     cell["shard"] = cell["first_shard"] + place(cell[list(DIMENSIONS)].to_numpy(np.float64), shards)

@@ -130,11 +130,11 @@ def brute_place(sizes, shards, room):
         best = None
         for s in range(shards):
             if all(x >= n - 1e-12 for x, n in zip(left[s], need)):
-                dot = sum(x * n for x, n in zip(left[s], need))
-                if best is None or dot > best[0] + 1e-12:
+                dot = round(sum(x * n for x, n in zip(left[s], need)), 12)
+                if best is None or dot > best[0]:
                     best = (dot, s)
         if best is None:
-            best = min((max(n - x for x, n in zip(left[s], need)), s) for s in range(shards))
+            best = min((round(max(n - x for x, n in zip(left[s], need)), 12), s) for s in range(shards))
         out.append(best[1])
         left[best[1]] = [x - n for x, n in zip(left[best[1]], need)]
     return out
@@ -148,6 +148,43 @@ def test_placement_by_dot_product():
         assert sharding.place(sizes, shards).tolist() == brute_place(sizes, shards, sharding.ROOM)
 
 
+def test_buckets_cells_and_shards_against_brute_force(spark):
+    rng = random.Random(25)
+    made = [(None if i % 50 == 0 else i % 900, "word, " * rng.randrange(0, 60), "en", None if i % 11 == 0 else f"s{min(5, int(rng.expovariate(0.7)))}", 0) for i in range(1000)]
+    df = spark.createDataFrame(made, SCHEMA)
+    size, cell_shards = 9_000, 4
+    got = Counter((r.doc_id, r.source, r.n_bytes, r.n_tokens, r.shard) for r in sharding.assign_shards(df, size, cell_shards).collect())
+    rows = df.select("doc_id", "source", F.octet_length("text").alias("b"), sharding.token_estimate(F.col("text")).alias("t"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")).alias("spread"), F.xxhash64("source").alias("hs")).collect()
+    whole = [sum(r.b for r in rows), sum(r.t for r in rows), len(rows)]
+    shards = -(-whole[0] // size)
+    cells = -(-shards // cell_shards)
+    assert shards > 8 and cells > 2
+    of = {}
+    for r in rows:
+        of.setdefault(r.source, []).append((r.b, r.t, 1))
+    buckets = {s: max(1, math.ceil(max(sum(v[k] for v in vs) / whole[k] for k in range(3)) * shards * sharding.PIECES)) for s, vs in of.items()}
+    groups, member = {}, []
+    for r in rows:
+        bucket = r.spread % buckets[r.source]
+        turn = (bucket + r.hs) % shards
+        cell = ((turn + 1) * cells - 1) // shards
+        key = (cell, r.source, bucket)
+        groups.setdefault(key, np.zeros(3))
+        groups[key] += (r.b, r.t, 1)
+        member.append(key)
+    hashed = spark.createDataFrame([(s, b) for _, s, b in groups], "source string, bucket bigint").select("source", "bucket", F.xxhash64("source", "bucket").alias("grp")).collect()
+    grp = {(r.source, r.bucket): r.grp for r in hashed}
+    shard = {}
+    for c in range(cells):
+        mine = [k for k in groups if k[0] == c]
+        total = np.maximum(sum(groups[k] for k in mine), 1)
+        mine.sort(key=lambda k: (-round(max(groups[k] / total), 12), grp[k[1:]]))
+        first, last = c * shards // cells, (c + 1) * shards // cells
+        for k, at in zip(mine, brute_place(np.array([groups[k] for k in mine]), last - first, sharding.ROOM)):
+            shard[k] = first + at
+    assert got == Counter((r.doc_id, r.source, r.b, r.t, shard[k]) for r, k in zip(rows, member))
+
+
 def test_shards_balance_all_dimensions(spark):
     rng = random.Random(24)
     made = [(i, ("12 . , " if i % 3 else "wordwordword ") * rng.randrange(1, 120), "en", f"s{min(9, int(rng.expovariate(0.5)))}", 0) for i in range(4000)]
