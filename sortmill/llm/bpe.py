@@ -248,6 +248,17 @@ class PrefixTable:
         self.filled = 0
         self.edit(0, 0, text)
 
+    @staticmethod
+    def restored(vocabulary: Vocabulary, text: str, starts: list[int], last: list[int]) -> "PrefixTable":
+        """The table that was kept as `starts` and the last tokens of all pieces in a row."""
+        out = PrefixTable(vocabulary)
+        out.text, out.starts, at = text, list(starts), 0
+        for a, b in zip(starts, [*starts[1:], len(text)]):
+            n = len(text[a:b].encode())
+            out.tables.append(array("i", last[at : at + n]))
+            at += n
+        return out
+
     def append(self, more: str) -> None:
         self.edit(len(self.text), len(self.text), more)
 
@@ -331,3 +342,73 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, pattern: str = PAT
     new = {"tokens": F.col(f"{made}.tokens"), "n_tokens": F.coalesce(F.size(f"{made}.tokens"), F.lit(0)), "exact": F.col(f"{made}.exact")}
     old = [docs[c] for c in docs.columns if c.lower() not in new]
     return rows.select(*old, *[v.alias(k) for k, v in new.items()])
+
+
+def decode_documents(docs: DataFrame, path: str = VOCABULARY, tokens: str = "tokens", text: str = "decoded") -> DataFrame:
+    """`docs` with the text that `tokens` stand for, null where they are; bytes that are no UTF-8 become U+FFFD, and an unknown token is an error."""
+
+    @F.arrow_udf(T.StringType())
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary = pieces(path, PATTERN).vocabulary
+        for column in batches:
+            yield pa.array([None if ids is None else vocabulary.decode(ids).decode("utf-8", "replace") for ids in column.to_pylist()], pa.string())
+
+    slim_batches(docs.sparkSession)
+    (made,) = fresh(docs, "made")
+    rows = docs.withColumn(made, decode(F.col(tokens)))
+    return rows.select(*[docs[c] for c in docs.columns if c.lower() != text.lower()], F.col(made).alias(text))
+
+
+_STARTS, _LAST = T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("last", T.ArrayType(T.IntegerType()))
+
+
+def prefix_documents(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """`docs` with `prefix`, each text's prefix table: where its pieces begin, and the last token of each byte prefix of each piece.
+
+    A table takes a number for each byte of the text; it is kept beside texts that will be appended to or edited.
+    """
+
+    @F.arrow_udf(T.StructType([_STARTS, _LAST]))
+    def fill(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary = pieces(path, pattern).vocabulary
+        for column in batches:
+            made = [None if t is None else PrefixTable(vocabulary, t) for t in column.to_pylist()]
+            yield pa.array([None if m is None else {"starts": m.starts, "last": [x for one in m.tables for x in one]} for m in made], pa.struct([("starts", pa.list_(pa.int32())), ("last", pa.list_(pa.int32()))]))
+
+    slim_batches(docs.sparkSession)
+    return docs.withColumn("prefix", fill(F.col("text").cast("string")))
+
+
+def edit_documents(docs: DataFrame, start: str, stop: str, new: str, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """`docs`, which `prefix_documents` made, with the characters from column `start` to column `stop` replaced by column `new`.
+
+    Gives text and prefix as they then are, tokens, n_tokens, and `filled`: the bytes whose entries were filled anew. A null start
+    or stop is the text's end, so an append is (null, null, more); places beyond the end are the end. A null `new` changes nothing.
+    A null text stays null.
+    """
+    kind = T.StructType([T.StructField("text", T.StringType()), _STARTS, _LAST, T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("filled", T.IntegerType())])
+    arrow = pa.struct([("text", pa.string()), ("starts", pa.list_(pa.int32())), ("last", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32())), ("filled", pa.int32())])
+
+    @F.arrow_udf(kind)
+    def edit(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        vocabulary = pieces(path, pattern).vocabulary
+        for columns in batches:
+            out = []
+            for text, prefix, a, b, more in zip(*(c.to_pylist() for c in columns)):
+                if text is None or prefix is None:
+                    out.append(None)
+                    continue
+                table = PrefixTable.restored(vocabulary, text, prefix["starts"], prefix["last"])
+                table.filled = 0
+                if more is not None:
+                    a = len(text) if a is None else min(max(a, 0), len(text))
+                    b = len(text) if b is None else min(max(b, a), len(text))
+                    table.edit(a, b, more)
+                out.append({"text": table.text, "starts": table.starts, "last": [x for one in table.tables for x in one], "tokens": table.tokens(), "filled": table.filled})
+            yield pa.array(out, arrow)
+
+    slim_batches(docs.sparkSession)
+    (made,) = fresh(docs, "edited")
+    rows = docs.withColumn(made, edit(F.col("text").cast("string"), F.col("prefix"), F.col(start).cast("int"), F.col(stop).cast("int"), F.col(new).cast("string")))
+    fields = {"text": F.col(f"{made}.text"), "prefix": F.when(F.col(made).isNotNull(), F.struct(f"{made}.starts", f"{made}.last")), "tokens": F.col(f"{made}.tokens"), "n_tokens": F.coalesce(F.size(f"{made}.tokens"), F.lit(0)), "filled": F.col(f"{made}.filled")}
+    return rows.select(*[docs[c] for c in docs.columns if c.lower() not in fields], *[v.alias(k) for k, v in fields.items()])

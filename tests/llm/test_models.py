@@ -80,6 +80,46 @@ def test_appends_and_edits(other):
     assert one.filled < 10 and one.tokens() == other.encode_ordinary(one.text)
 
 
+def test_both_engines_cut_alike(other):
+    vocabulary = bpe.pieces().vocabulary
+    rng = random.Random(35)
+    odd = "²³¹¼½¾ⅧⅫ٢४〇一二Ⅷ𝟙🙂\x1c\x1f\x85\u2028\u3000_ʰªº𐐀߁'ſd"
+    for _ in range(600):
+        text = "".join(rng.choice(odd + "ab 12_.'sS\n\té漢") for _ in range(rng.randrange(0, 30)))
+        assert vocabulary.split(text) == vocabulary.pattern.findall(text)
+    assert vocabulary._unlike.search("plain text, naïve – 漢字") is None and vocabulary._unlike.search("x²")
+
+
+def test_documents_decode_to_their_texts(spark):
+    texts = [*ODD, None]
+    df = bpe.encode_documents(frame(spark, texts)).withColumns({"made": F.lit(1), "Decoded": F.lit(2)})
+    got = bpe.decode_documents(df)
+    assert got.columns == [c for c in df.columns if c != "Decoded"] + ["decoded"]
+    assert {r.doc_id: r.decoded for r in got.collect()} == dict(enumerate(texts))
+    half = spark.createDataFrame([([bpe.pieces().vocabulary.index["é".encode()[:1]]],), ([],), (None,)], "tokens array<int>")
+    assert [r.decoded for r in bpe.decode_documents(half).collect()] == ["\ufffd", "", None]
+    assert bpe.decode_documents(df.limit(0)).count() == 0
+
+
+def test_documents_are_edited_in_place(spark, other):
+    base = "some words of a text, it's here " * 300
+    made = [(1, base, None, None, " and more"), (2, base, 100, 105, "other"), (3, base, 0, 0, ""), (4, base, 5, 10**6, "x"), (5, None, 1, 2, "x"), (6, "", None, None, "new text"), (7, base, 3, 1, None), (8, "naïve Übergröße 🙂", 2, 3, "日本"), (9, "x" * 3000, None, None, "xyz")]
+    df = spark.createDataFrame(made, "doc_id bigint, text string, a int, b int, more string").withColumn("edited", F.lit(1))
+    got = bpe.edit_documents(bpe.prefix_documents(df), "a", "b", "more")
+    twice = bpe.edit_documents(got.withColumn("more", F.lit("!")), "a", "b", "more")
+    assert got.columns == ["doc_id", "a", "b", "more", "edited", "text", "prefix", "tokens", "n_tokens", "filled"]
+    rows = {r.doc_id: r for r in got.collect()}
+    for d, t, a, b, more in made:
+        if t is None:
+            assert rows[d].text is None and rows[d].tokens is None and rows[d].n_tokens == 0
+            continue
+        a, b = len(t) if a is None else a, len(t) if b is None else b
+        want = t if more is None else t[:a] + more + t[max(a, b) :]
+        assert rows[d].text == want and rows[d].tokens == other.encode_ordinary(want), d
+    assert all(rows[d].filled < 60 for d in (1, 2, 3, 7, 9))
+    assert all(r.text is None or r.tokens == other.encode_ordinary(r.text) for r in twice.collect())
+
+
 def test_encoding_odd_cases(spark):
     df = frame(spark, ["a b", "a b"], [None, None]).withColumns({"tokens": F.lit(1), "Exact": F.lit(2), "encoded": F.lit(3)})
     got = bpe.encode_documents(df)
