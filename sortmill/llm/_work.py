@@ -1,62 +1,21 @@
-"""Shared helpers: where intermediate tables go, column naming, and size-checked broadcasts."""
+"""What the operators of this subpackage share beside `sortmill.shared`: its names in short, and the size of Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from sortmill.shared import discard, fresh, table
+from sortmill.shared import settled as written
+from sortmill.shared import sized as small
+
+__all__ = ["ARROW_ROWS", "discard", "fresh", "slim_batches", "small", "table", "written"]
 
-#: A side is broadcast only below this estimate of its bytes; beyond it the join shuffles.
-BROADCAST_BYTES = 64 << 20
 #: Rows of an Arrow batch, at most: texts are long, and a worker holds several copies of a batch.
 ARROW_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; one of our own where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="sortmill-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as a table in the shared folder and read back: its lineage ends there, and no executor's loss can undo it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sortmill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """`df`, to be broadcast if `rows` of it at `row_bytes` each stay under BROADCAST_BYTES, else left to a shuffled join."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
-
-
 def slim_batches(spark: SparkSession) -> None:
     """Holds this session's Arrow batches to ARROW_ROWS, unless they are smaller already. This changes memory only."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
         spark.conf.set(name, str(ARROW_ROWS))
-
-
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Names like `names` that no column of `df` has, in any case."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name = "_" + name
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

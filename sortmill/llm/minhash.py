@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from sortmill.llm._text import blocks, byte_view, mix64, powers64, release, word_hashes, word_spans
-from sortmill.llm._work import fresh, slim_batches, small, written
+from sortmill.llm._work import discard, fresh, slim_batches, small, written
 
 #: Changing one word in ten leaves two texts a Jaccard similarity of 0.57 in trigrams; a few per cent leave 0.8.
 SHINGLE, SKETCH, THRESHOLD = 3, 64, 0.55
@@ -223,8 +223,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(down, "u")
-        edges = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = written(edges, "components")
+        joined = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        joined = written(joined, "components")
+        discard(edges)  # only the last round's edges are read again
+        edges = joined
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("doc"), F.col("v").alias("rep"))
