@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortmill.functions import codec
+from sortmill.functions import codec, ids
 from sortmill.operators import documents, keys, lsm, pipes, replog, scan, textindex, versions
 from sortmill.operators.order import ranked
 from sortmill.shared import fresh_path, sized, table
@@ -47,6 +47,12 @@ def kv_scan_backward(spark, d):
     return scan.scan(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", LOW, HIGH, forward=False).select("pos", "o_orderkey")
 
 
+@query(f"SELECT row_number() OVER (ORDER BY o_orderkey) AS pos, o_orderkey FROM orders WHERE o_orderkey BETWEEN {LOW} AND {HIGH} AND o_orderstatus = 'F'")
+def kv_scan_residual(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return scan.scan(rows, "o_orderkey", LOW, HIGH, match=F.col("o_orderstatus") == "F").select("pos", "o_orderkey")
+
+
 @query("SELECT row_number() OVER (ORDER BY c_custkey) AS pos, c_custkey, c_name FROM customer")
 def kv_scan_all(spark, d):
     return scan.scan(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").select("pos", "c_custkey", "c_name")
@@ -112,6 +118,18 @@ def key_typed_sort(spark, d):
     return ranked(longs.unionByName(strings).withColumn("key", key), F.col("key")).select("pos", "subtype", "l", "s")
 
 
+@query("SELECT p_partkey, p_brand AS part1, p_type AS part2, CAST(2 AS BIGINT) AS parts FROM part")
+def key_parse(spark, d):
+    parts = keys.parse(F.concat_ws("/", "p_brand", "p_type"))
+    held = table(spark, d, "part").select("p_partkey", parts.alias("key"))
+    return held.select("p_partkey", F.element_at("key", 1).alias("part1"), F.element_at("key", 2).alias("part2"), F.size("key").cast("bigint").alias("parts"))
+
+
+@query("SELECT n_nationkey, (CAST(1000 AS BIGINT) << 24) + row_number() OVER (ORDER BY n_nationkey) AS id FROM nation")
+def unique_ids(spark, d):
+    return ids.unique_ids(table(spark, d, "nation").select("n_nationkey"), F.col("n_nationkey"), second=1000)
+
+
 @query("SELECT p_partkey, p_type, p_brand FROM part WHERE p_type = 'STANDARD'")
 def key_is_subkey_of(spark, d):
     parts = F.array("p_type", "p_brand", F.col("p_partkey").cast("string"))
@@ -271,6 +289,37 @@ def timestamp_snapshot_as_of(spark, d):
     return versions.timestamp_snapshot(updates(spark, d, "ts"), _KEY, ["event_id"], until).select("user_id", "k", "event_id")
 
 
+_STAGED = "SELECT c_custkey AS k, {v} AS v FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey{where}"
+
+
+def _stage(spark, d):
+    """A stage with the customers; a snapshot; then suppliers written over some of them, and every seventh deleted."""
+    first = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    blank = first.limit(0).withColumn("update_type", F.lit(lsm.FULL)).withColumn("version", F.lit(0))
+    stage, number = versions.SnapshotStage(blank, ["k"]).write(first).take()
+    over = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v")).join(first.select("k"), "k", "left_semi")
+    return stage.write(over).delete(first.filter("k % 7 = 0")), number
+
+
+@query(_STAGED.format(v="coalesce(s_name, c_name)", where=" WHERE c_custkey % 7 <> 0"))
+def snapshot_stage_current(spark, d):
+    return _stage(spark, d)[0].read().select("k", "v")
+
+
+@query(_STAGED.format(v="c_name", where=""))
+def snapshot_stage_frozen(spark, d):
+    stage, number = _stage(spark, d)
+    return stage.at(number).read().select("k", "v")
+
+
+@query("WITH gone AS (SELECT user_id, event_type, max(event_id) AS upto FROM events WHERE event_id % 97 = 0 GROUP BY ALL) SELECT e.user_id, e.event_type, e.event_id, e.value FROM events e LEFT JOIN gone g ON e.user_id = g.user_id AND e.event_type = g.event_type WHERE upto IS NULL OR e.event_id > upto UNION ALL SELECT user_id, event_type, event_id + 1000000, value FROM events WHERE event_id % 89 = 0")
+def cell_mutate(spark, d):
+    cells = table(spark, d, "events").select("user_id", "event_type", "event_id", "value")
+    gone = cells.filter("event_id % 97 = 0").withColumn("value", F.lit(None).cast("double")).withColumn("deleted", F.lit(True))
+    new = cells.filter("event_id % 89 = 0").withColumn("event_id", F.col("event_id") + 1000000).withColumn("deleted", F.lit(False))
+    return versions.mutate_rows(cells, gone.unionByName(new), "user_id", "event_type", "event_id")
+
+
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) t WHERE rn <= 3")
 def cell_versions(spark, d):
     return versions.cell_versions(table(spark, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id", 3)
@@ -441,6 +490,16 @@ def text_search_and3(spark, d):
 _PLACED = r"""pl AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[-*()"''\[\]:\s?.,]+'), lambda x: lower(regexp_replace(x, '([-"'':+_=/|]{3,})', '', 'g'))), lambda x: x <> '') AS ws FROM documents) t)"""
 
 
+@query(f"WITH {_PLACED} SELECT word, doc_id, CAST(pos - 1 AS BIGINT) AS at FROM pl")
+def text_positions(spark, d):
+    return textindex.positions(table(spark, d, "documents")).withColumn("at", F.col("at").cast("bigint"))
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id FROM tok WHERE word IN ('the', 'of') AND doc_id > 100 GROUP BY doc_id HAVING count(DISTINCT word) = 2")
+def text_search_after(spark, d):
+    return textindex.search_postings(_index(spark, d), ["the", "of"], after=100)
+
+
 @query(f"WITH {_PLACED} SELECT DISTINCT a.doc_id FROM pl a JOIN pl b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.word = 'of' AND b.word = 'the'")
 def text_search_phrase(spark, d):
     return textindex.search_near(_index(spark, d), ["of", "the"])
@@ -513,6 +572,13 @@ def log_truncate(spark, d):
     return replog.truncated(_log(spark, d).select("server", "event_id"), "server", "event_id")
 
 
+@query("WITH seen AS (SELECT event_type AS g, max(event_id) AS head FROM events WHERE ts <= TIMESTAMP '2024-01-30 00:00:00' AND event_type <> 'signup' GROUP BY event_type), b AS (SELECT event_type AS server_guid, count(CASE WHEN event_id > coalesce(head, 0) THEN 1 END) AS behind FROM events LEFT JOIN seen ON g = event_type GROUP BY event_type) SELECT server_guid, behind, CASE WHEN behind < 5 THEN 'caught_up' WHEN behind > 30 THEN 'lost' ELSE 'following' END AS state FROM b")
+def log_lag(spark, d):
+    log = _log(spark, d)
+    seen = log.filter((F.col("ts") <= F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")) & (F.col("server") != "signup"))
+    return replog.lag(log, "server", "event_id", replog.status(seen, "server", "event_id").select("server_guid", F.col("log_commit_head").alias("at")))
+
+
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_id <= 900) t WHERE rn = 1 AND event_type <> 'error'")
 def log_rebuild(spark, d):
     """The data of a replica made anew from another server's updates up to a stamp."""
