@@ -51,12 +51,11 @@ def _counter(path: str, pattern: str, chunk: int) -> Callable:
     return count
 
 
-def _cutter(chunk: int, overlap: int, only: str | None = None) -> Callable:
+def _cutter(chunk: int, overlap: int) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
-                digest = _digest(text)
                 for k, at in enumerate(range(0, len(text), chunk)):
                     piece = text[at : at + chunk + overlap]
                     yield pa.RecordBatch.from_arrays([pa.array([digest]), pa.array([k], pa.int32()), pa.array([at], pa.int64()), pa.array([len(text)], pa.int64()), pa.array([piece])], ["digest", "k", "at", "size", "piece"])
@@ -69,7 +68,7 @@ def encode_chunk(held: bpe.Pieces, piece: str, at: int, size: int, chunk: int, o
 
     Of the second overlap, only the beginnings that no character beyond the chunk could change are given.
     """
-    found = held.vocabulary.pattern.findall(piece)
+    found = held.vocabulary.split(piece)
     starts = at + np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
     before = np.concatenate([[0], np.cumsum([len(held[x]) // 4 for x in found])]).astype(np.int64)
     end = at + len(piece)
@@ -126,13 +125,13 @@ def count_documents(docs: DataFrame, path: str = bpe.VOCABULARY, pattern: str =
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = written(rows.mapInArrow(_counter(path, pattern, chunk), f"doc_id {kind}, n_tokens bigint, digest string"), "count-rows")
-    huge = rows.filter(F.length("text") > chunk).select("text")
+    huge = rows.filter(F.length("text") > chunk).select(F.md5(F.col("text").cast("binary")).alias("digest"), "text")
     pending = counts.filter("digest IS NOT NULL").select("digest").distinct()
     left, done = pending.count(), []
     while left:
-        cut = huge.mapInArrow(_cutter(chunk, overlap), "digest string, k int, at bigint, size bigint, piece string")
-        # Spread over tasks by (document, chunk): one huge document is the work of many.
-        cut = cut.join(small(pending, left, 64), "digest", "left_semi").dropDuplicates(["digest", "k"])
+        # Only what is still open is cut again. Spread over tasks by (document, chunk): one huge document is the work of many.
+        cut = huge.join(small(pending, left, 64), "digest", "left_semi").select("digest", "text")
+        cut = cut.mapInArrow(_cutter(chunk, overlap), "digest string, k int, at bigint, size bigint, piece string").dropDuplicates(["digest", "k"])
         seen = cut.select("digest", "k", "at", "size", "piece").mapInArrow(_encoder(path, pattern, chunk, overlap), "digest string, k int, at bigint, finish bigint, size bigint, starts array<bigint>, before array<bigint>, total bigint")
         spliced = written(seen.groupBy("digest").applyInPandas(_splice_group, "digest string, spliced bigint"), "count-spliced")
         done.append(spliced.filter("spliced IS NOT NULL"))
