@@ -209,7 +209,6 @@ def fingerprint_documents(docs: DataFrame, bits: int = 62) -> DataFrame:
     key, akey = ["fingerprint", "n_bytes"], ["af", "anchor_bytes"]
     prints = written(fingerprints(docs, bits), "prints")
     full = prints.filter("n_bytes > 0")
-    named = full.filter("doc_id IS NOT NULL")
     # The texts to fetch, each once: those that repeat, to be compared, and those of heads that several share.
     heads = full.groupBy("head").agg(F.count("*").alias("rows")).filter("rows > 1").select("head")
     need = written(full.join(heads, "head", "left_semi").select(*key).distinct(), "print-need")
