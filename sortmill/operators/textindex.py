@@ -1,18 +1,24 @@
-"""An inverted index of words and search over it, all in built-in functions.
+"""An inverted index of words and search over it. Built-in functions but for the sorting of the stored index, which is done in Arrow batches.
 
-The index is written once, sorted by word; a search reads the row groups of its terms. `search` tests the texts themselves instead,
-for a table that is searched once.
+The index is written once, as runs sorted by word; a search reads the row groups of its terms in each. `search` tests the texts
+themselves instead, for a table that is searched once.
 
-A null text has no words. A word's postings hold each document once. Search words are taken as they are, case and all,
-unless asked to be tokenised as the index was; a repeated word counts once, an empty query finds nothing.
+A null text has no words. Rows of one document id are one document: a word's `postings` hold it once, a stored index holds it for
+each row and run, which the searches unite. Search words are taken as they are, case and all, unless asked to be tokenised as the index was; a repeated
+word counts once, an empty query finds nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sortmill import shared
 
@@ -66,13 +72,57 @@ def search(docs: DataFrame, terms: list[str], doc: str = "doc_id", text: str = "
     return rows.select(doc).distinct()
 
 
+#: A sorted run of the index holds so many occurrences or bytes of them: what a task keeps in memory, whatever it reads.
+RUN, RUN_BYTES = 1 << 21, 64 << 20
+
+
+def _run(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of occurrences (word, doc, at), which come text by text, each text's from place 0: sorted by word, texts in their order."""
+    rows = pa.Table.from_batches(held).combine_chunks()
+    word, doc, at = (c.chunk(0) for c in rows.columns)
+    coded, places = word.dictionary_encode(), at.to_numpy()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int32)
+    rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+    code = rank[coded.indices.to_numpy()]
+    by_word = np.argsort(code.astype(np.uint16) if len(order) <= 1 << 16 else code, kind="stable")
+    code, nth = code[by_word], np.cumsum(places == 0)[by_word]
+    first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (nth[1:] != nth[:-1])]))
+    ends = np.append(first, len(code)).astype(np.int32)
+    out = pa.RecordBatch.from_arrays(
+        [
+            coded.dictionary.take(order).take(pa.array(code[first])),
+            doc.take(pa.array(by_word[first])),
+            pa.array(np.diff(ends).astype(np.int64)),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(places[by_word])),
+        ],
+        names=[*rows.column_names[:2], "freq", "at"],
+    )
+    for k in range(0, out.num_rows, 1 << 16):
+        yield out.slice(k, 1 << 16)
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n, size = [], 0, 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n, size = n + b.num_rows, size + b.nbytes
+        if n >= RUN or size >= RUN_BYTES:
+            yield from _run(held)
+            held, n, size = [], 0, 0
+    if held:
+        yield from _run(held)
+
+
 def write_index(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text") -> None:
-    """The postings with positions, (word, doc, freq, at), as files sorted by word and document: a search reads few row groups.
+    """The postings with positions, (word, doc, freq, at), each task's as one file of runs sorted by word: a search reads few pages of each.
 
-    One shuffle by word and document; a word that a third of all rows hold lies in as many files as its postings fill.
+    Nothing is shuffled or spilled: a task sorts one run at a time in memory. A text that ends a run may go on in the next.
     """
-    held = positions(docs, doc, text).groupBy("word", doc).agg(F.count("*").alias("freq"), F.array_sort(F.collect_list("at")).alias("at"))
-    held.repartitionByRange("word", doc).sortWithinPartitions("word", doc).write.option("compression", "zstd").option("parquet.block.size", str(8 << 20)).parquet(path)
+    placed = positions(docs, doc, text)
+    schema = T.StructType([*placed.schema.fields[:2], T.StructField("freq", T.LongType()), T.StructField("at", T.ArrayType(T.IntegerType()))])
+    placed.mapInArrow(sorted_runs, schema).write.option("compression", "zstd").option("parquet.block.size", str(8 << 20)).parquet(path)
 
 
 _indexes: dict[tuple, str] = {}
@@ -107,9 +157,9 @@ def search_postings(index: DataFrame, terms: list[str], doc: str = "doc_id", aft
     hits = _terms_of(index, terms, doc)
     if after is not None:
         hits = hits.filter(F.col(doc) > after)
-    (n,) = shared.fresh(hits, "n")
-    found = hits.groupBy(doc).agg(F.count("*").alias(n))  # a word's postings hold each document once
-    return found.filter(F.col(n) == len(terms)).filter(F.lit(bool(terms))).select(doc)
+    (ok,) = shared.fresh(hits, "ok")
+    every = reduce(lambda ok, t: ok & F.max(F.col("word") == t), terms, F.lit(bool(terms)))
+    return hits.groupBy(doc).agg(every.alias(ok)).filter(ok).select(doc)
 
 
 def search_any(index: DataFrame, terms: list[str], doc: str = "doc_id", without: list[str] = ()) -> DataFrame:
@@ -127,7 +177,8 @@ def _before(k: int, place: Column) -> Column:
 def search_near(index: DataFrame, terms: list[str], within: int | None = None, doc: str = "doc_id") -> DataFrame:
     """The documents with the terms as a phrase; or, if `within` is given, with all of them inside so many words, in any order."""
     distinct = list(dict.fromkeys(terms))
-    rows = _terms_of(index, distinct, doc, "at").groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("held"))
+    rows = _terms_of(index, distinct, doc, "at").groupBy(doc, "word").agg(F.flatten(F.collect_list("at")).alias("at"))
+    rows = rows.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("held"))
     rows = rows.filter(F.size("held") == len(distinct)).filter(F.lit(bool(distinct)))
     places = lambda t: F.element_at("held", F.lit(t))
     if within is None:
@@ -144,7 +195,7 @@ def search_near(index: DataFrame, terms: list[str], within: int | None = None, d
 
 def tf_idf(index: DataFrame, terms: list[str], documents: int, doc: str = "doc_id") -> DataFrame:
     """(doc, score): the sum over the terms of freq * ln(documents / documents with the term)."""
-    rows = _terms_of(index, list(dict.fromkeys(terms)), doc, "freq")
+    rows = _terms_of(index, list(dict.fromkeys(terms)), doc, "freq").groupBy("word", doc).agg(F.sum("freq").alias("freq"))
     seen = rows.groupBy("word").agg(F.count("*").alias("df"))  # one row a term
     weight = F.col("freq") * F.ln(F.lit(float(documents)) / F.col("df"))
     return rows.join(F.broadcast(seen), "word").groupBy(doc).agg(F.sum(weight).alias("score"))

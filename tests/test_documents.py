@@ -1,5 +1,8 @@
 """Documents, text search, pipes, replication logs, sources and streams."""
 
+import math
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +191,52 @@ def test_stored_index_is_pruned_and_searched(spark, tmp_path):
     assert "PushedFilters: [In(word, [the])]" in plan or "EqualTo(word,the)" in plan
 
 
+def test_index_is_built_without_a_shuffle(spark, tmp_path):
+    texts = [(i, f"the cat {i} saw the cat {i % 7} of the house") for i in range(200)]
+    spark.createDataFrame(texts, "doc_id int, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    docs, tracker = spark.read.parquet(str(tmp_path / "docs")), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("index-build", "")
+    try:
+        textindex.write_index(docs, str(tmp_path / "index"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("index-build")]
+    assert [len(j.stageIds) for j in jobs] == [1]
+    index = spark.read.parquet(str(tmp_path / "index"))
+    placed = {(r.word, r.doc_id): (r.freq, r["at"]) for r in index.collect()}
+    assert placed[("cat", 9)] == (2, [1, 5]) and placed[("the", 9)] == (3, [0, 4, 8]) and len(placed) == index.count()
+    want = {(r.word, r.doc_id): r.freq for r in textindex.postings(docs).collect()}
+    assert {k: freq for k, (freq, _) in placed.items()} == want
+
+
+def test_runs_of_any_length_hold_every_occurrence(monkeypatch):
+    texts = [(1, "b a b"), (2, "a"), (2, "c b c c"), (None, "a é b"), (3, "b")]
+    rows = [(w, d, at) for d, text in texts for at, w in enumerate(text.split())]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("word", "doc_id", "at"), r, strict=True)) for r in rows[k : k + 2]], schema=pa.schema({"word": pa.string(), "doc_id": pa.int32(), "at": pa.int32()})) for k in range(0, len(rows), 2)]
+    for length in (1, 3, 5, 100):
+        monkeypatch.setattr(textindex, "RUN", length)
+        got = [list(map(tuple, (r.values() for r in b.to_pylist()))) for b in textindex.sorted_runs(iter([batches[0].slice(0, 0), *batches]))]
+        assert all([w for w, *_ in run] == sorted(w for w, *_ in run) and all(n == len(at) for _, _, n, at in run) for run in got)
+        assert sorted(((w, d, a) for run in got for w, d, _, at in run for a in at), key=str) == sorted(rows, key=str)
+    assert got == [[("a", 1, 1, [1]), ("a", 2, 1, [0]), ("a", None, 1, [0]), ("b", 1, 2, [0, 2]), ("b", 2, 1, [1]), ("b", None, 1, [2]), ("b", 3, 1, [0]), ("c", 2, 3, [0, 2, 3]), ("é", None, 1, [1])]]
+    assert list(textindex.sorted_runs(iter([]))) == []
+
+
+def test_stored_index_unites_rows_of_one_document(spark, tmp_path):
+    parts = [[(1, "the cat"), (None, "a dog"), (2, "the mat")], [(1, "of the mat"), (None, "the cat"), (3, ""), (4, None)], [(1, "the cat"), (2, "dog dog")]]
+    for part in parts:
+        spark.createDataFrame(part, "doc_id int, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    index = textindex.stored_index(docs)
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=str)
+    assert ids(textindex.search_postings(index, ["cat", "mat"])) == [1] and ids(textindex.search_postings(index, ["the"])) == [1, 2, None]
+    assert ids(textindex.search_postings(index, ["dog", "cat"])) == [None] and ids(textindex.search_postings(index, ["dog", "mat"], after=1)) == [2]
+    assert ids(textindex.search_near(index, ["the", "mat"])) == [1, 2] and ids(textindex.search_near(index, ["cat", "mat"], within=2)) == [1]
+    assert ids(textindex.search_any(index, ["cat"], without=["mat"])) == [None]
+    score = {r.doc_id: round(r.score, 9) for r in textindex.tf_idf(index, ["cat", "dog"], 8).collect()}
+    assert score == {1: round(2 * math.log(4), 9), 2: round(2 * math.log(4), 9), None: round(2 * math.log(4), 9)}
+
+
 def test_logs_append_rebuild_and_instances(spark):
     log = spark.createDataFrame([("a", 1, "k"), ("a", 2, "l"), ("b", 7, "m")], "server string, logstamp bigint, key string")
     new = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("c", 5, "z")], "server string, logstamp bigint, key string")
