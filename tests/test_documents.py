@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sortmill.operators import documents, pipes, replog, textindex
+from sortmill.plans.catalogue import QUERIES
 from sortmill.sources import mail
 from sortmill.streaming import ingest
 
@@ -209,6 +210,21 @@ def test_index_is_built_without_a_shuffle(spark, tmp_path):
     assert {k: freq for k, (freq, _) in placed.items()} == want
 
 
+def test_search_after_shuffles_its_hits_only(spark, tmp_path):
+    texts = [(i, ["the top of it", "the of", "of", "the"][i % 4]) for i in range(90, 130)]
+    spark.createDataFrame(texts, "doc_id int, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("search-after", "")
+    try:
+        found = QUERIES["text_search_after"](spark, str(tmp_path))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("search-after")]
+    assert jobs and all(len(j.stageIds) == 1 for j in jobs)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(r.doc_id for r in found.collect()) == [i for i in range(101, 130) if i % 4 < 2]
+
+
 def test_runs_of_any_length_hold_every_occurrence(monkeypatch):
     texts = [(1, "b a b"), (2, "a"), (2, "c b c c"), (None, "a é b"), (3, "b")]
     rows = [(w, d, at) for d, text in texts for at, w in enumerate(text.split())]
