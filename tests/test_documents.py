@@ -225,6 +225,28 @@ def test_search_after_shuffles_its_hits_only(spark, tmp_path):
     assert sorted(r.doc_id for r in found.collect()) == [i for i in range(101, 130) if i % 4 < 2]
 
 
+def test_search_after_moves_no_more_than_its_index(spark, tmp_path):
+    """Bytes shuffled, spilled and written, of two sizes: nearly all are the index, and they grow no faster than the texts."""
+    store, tracker = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext.statusTracker()
+    moved = {}
+    for n in (2000, 8000):
+        docs = spark.range(n).selectExpr("id AS doc_id", "concat_ws(' ', 'the top of it', transform(sequence(0, 99), k -> concat('w', pmod(hash(id, k), 5000)))) AS text")
+        docs.repartition(2).write.parquet(str(tmp_path / f"{n}/documents.parquet"))
+        spark.sparkContext.setJobGroup(f"moved-{n}", "")
+        try:
+            QUERIES["text_search_after"](spark, str(tmp_path / f"{n}")).write.parquet(str(tmp_path / f"{n}/found"))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = [store.lastStageAttempt(k) for k in {k for j in tracker.getJobIdsForGroup(f"moved-{n}") for k in tracker.getJobInfo(j).stageIds}]
+        stages = [x for x in stages if x.status().toString() == "COMPLETE"]
+        between, written = sum(x.shuffleWriteBytes() + x.diskBytesSpilled() for x in stages), sum(x.outputBytes() for x in stages)
+        assert written > 0 and between < written / 10
+        moved[n] = between + written
+        assert spark.read.parquet(str(tmp_path / f"{n}/found")).count() == n - 101
+    assert moved[8000] < 4.4 * moved[2000]
+
+
 def test_runs_of_any_length_hold_every_occurrence(monkeypatch):
     texts = [(1, "b a b"), (2, "a"), (2, "c b c c"), (None, "a é b"), (3, "b")]
     rows = [(w, d, at) for d, text in texts for at, w in enumerate(text.split())]
